@@ -224,13 +224,16 @@ def _mapped(docs: DataFrame, vocabulary_path: str, make, schema: str) -> DataFra
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """doc_id, ids: the token ids of each text."""
+    """doc_id, ids, n_tokens, lossless: the token ids of each text, and whether they decode to it."""
 
     def make(encoder: TrieEncoder, part: pa.RecordBatch) -> pa.RecordBatch:
-        ids = encoder.encode(part.column("text").to_pylist())
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        texts = part.column("text").to_pylist()
+        ids = encoder.encode(texts)
+        same = [encoder.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
+        columns = [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "lossless"])
 
-    return _mapped(docs.select("doc_id", "text"), vocabulary_path, make, "doc_id long, ids array<int>")
+    return _mapped(docs.select("doc_id", "text"), vocabulary_path, make, "doc_id long, ids array<int>, n_tokens long, lossless boolean")
 
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str) -> DataFrame:

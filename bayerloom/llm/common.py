@@ -81,8 +81,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_word_byte = np.zeros(256, dtype=bool)
-_word_byte[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+#: Bytes by class: 0 between words, 1 in words, 2 (only where marks count) punctuation.
+_words_only = np.zeros(256, dtype=np.uint8)
+_words_only[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = 1
+_with_marks = np.where(_words_only == 1, 1, np.where((np.arange(256) > 32) & (np.arange(256) < 127), 2, 0)).astype(np.uint8)
 with np.errstate(over="ignore"):
     _byte_value = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
 _powers = {"up": np.ones(0, np.uint64), "down": np.ones(0, np.uint64)}
@@ -106,32 +108,41 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, in order, and where each text's words begin (n + 1 offsets).
 
+    With marks, case counts and runs of punctuation are words too.
+    """
+    return word_hashes_and_places(texts, marks)[:2]
+
+
+def word_hashes_and_places(texts: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and offsets of words as word_hashes has them, the bytes of all texts, and where in them words start and end.
+
     Works on the bytes of the whole array at once: a polynomial hash of each
     run of word bytes from one prefix sum.
     """
-    lowered = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lowered = pc.fill_null(texts.cast(pa.large_string()), "")
+    lowered = lowered if marks else pc.utf8_lower(lowered)
     _, offsets, data = lowered.buffers()
     bounds = np.frombuffer(offsets, dtype=np.int64)[lowered.offset : lowered.offset + len(lowered) + 1]
     if data is None or len(lowered) == 0 or bounds[-1] == bounds[0]:
-        return np.zeros(0, np.uint64), np.zeros(len(lowered) + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), np.zeros(len(lowered) + 1, np.int64), np.zeros(1, np.uint8), none, none
     raw = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]]
     bounds = bounds - bounds[0]
-    inside = _word_byte[raw]
+    kind = (_with_marks if marks else _words_only)[raw]
     edge = np.zeros(len(raw) + 1, dtype=bool)
     edge[bounds] = True
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1] | edge[1:-1]
-    last[:-1] &= ~inside[1:] | edge[1:-1]
+    edge[1:-1] |= kind[1:] != kind[:-1]
+    first, last = (kind > 0) & edge[:-1], (kind > 0) & edge[1:]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = _power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(_byte_value[raw] * up[: len(raw)], out=sums[1:])
         hashes = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, bounds).astype(np.int64)
+    return hashes, np.searchsorted(starts, bounds).astype(np.int64), raw, starts, ends
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
