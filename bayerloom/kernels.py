@@ -9,6 +9,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,8 +131,6 @@ def average(frames: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     schema = "window long, n long, width int, height int, red_in_first_col boolean, red_in_first_row boolean, fps double, sums binary, squares binary"
 
     def partial(batches):
-        import pyarrow as pa
-
         held: dict[int, list] = {}
         for batch in batches:
             for k in range(batch.num_rows):
@@ -149,9 +148,9 @@ def average(frames: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         for item in held.items():
             yield pa.RecordBatch.from_pylist([_partial(*item)], schema=arrow)
 
-    import pyarrow as pa
-
-    arrow = pa.schema([("window", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("red_in_first_col", pa.bool_()), ("red_in_first_row", pa.bool_()), ("fps", pa.float64()), ("sums", pa.binary()), ("squares", pa.binary())])
+    shape = [("width", pa.int32()), ("height", pa.int32()), ("red_in_first_col", pa.bool_()), ("red_in_first_row", pa.bool_()), ("fps", pa.float64())]
+    arrow = pa.schema([("window", pa.int64()), ("n", pa.int64()), *shape, ("sums", pa.binary()), ("squares", pa.binary())])
+    planes = pa.schema([("frame_no", pa.int64()), ("kind", pa.string()), ("elem", pa.string()), *shape, ("data", pa.binary()), ("var", pa.binary())])
 
     def whole(key, table):
         rows = table.to_pylist()
@@ -160,7 +159,7 @@ def average(frames: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         mean = total / count
         first = rows[0]
         base = {"frame_no": key[0].as_py(), "kind": "raw", "elem": "f32", **{c: first[c] for c in ("width", "height", "red_in_first_col", "red_in_first_row", "fps")}}
-        return pa.Table.from_pylist([base | {"data": packed(mean, "f32"), "var": packed(np.maximum(squares / count - mean * mean, 0), "f32")}])
+        return pa.Table.from_pylist([base | {"data": packed(mean, "f32"), "var": packed(np.maximum(squares / count - mean * mean, 0), "f32")}], schema=planes)
 
     sums = placed.mapInArrow(partial, schema)
     out = sums.groupBy("window").applyInArrow(whole, "frame_no long, kind string, elem string, width int, height int, red_in_first_col boolean, red_in_first_row boolean, fps double, data binary, var binary")

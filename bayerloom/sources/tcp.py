@@ -41,15 +41,17 @@ class _TcpStream(SimpleDataSourceStreamReader):
     """A batch is what has come within `patience` seconds; frames are kept until they are committed, so that a batch can be read again."""
 
     def __init__(self, address: str, size: int, patience: float):
-        host, port = address.rsplit(":", 1)
-        self.connection = socket.create_connection((host, int(port)))
-        self.connection.settimeout(patience)
+        self.address, self.patience, self.connection = address, patience, None
         self.size, self.held, self.ended, self.part = size, {}, False, bytearray()
 
     def initialOffset(self) -> dict:
         return {"frame": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if self.connection is None and not self.ended:  # only the reader that reads connects
+            host, port = self.address.rsplit(":", 1)
+            self.connection = socket.create_connection((host, int(port)))
+            self.connection.settimeout(self.patience)
         at = start["frame"]
         while at in self.held:
             at += 1
