@@ -41,7 +41,7 @@ THRESHOLD = 0.5
 #: The strict patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Wider candidates.
@@ -88,6 +88,8 @@ def shapes(text: str) -> list[tuple[int, int, int, bool]]:
         else:
             at = text.find("@", at + 1)
     for m in _DOTTED.finditer(text):
+        if m.end() - m.start() < 7:
+            continue
         groups, start = m[0].split("."), m.start()
         for k in range(0, len(groups) - 3, 4):
             four = groups[k : k + 4]
