@@ -7,9 +7,10 @@ checksum or range, gazetteer, words before it, and its borders. The counts of
 each kind's vote patterns (at most kinds x 3^5 of them) cover all rows and are
 all that expectation-maximisation needs: it estimates how reliable each
 labeler is on each class, and so the probability of every pattern. With those
-as soft labels a logistic span classifier is fitted on a bounded sample of
-candidates (FIT_SPANS, those of smallest hash) and then decides on every
-candidate of every text.
+as soft labels a logistic span classifier is fitted on all candidates, those of
+equal features and votes as one weighted group: each Newton step adds up the
+groups where they lie and brings only sums to the driver. It then decides on
+every candidate of every text.
 
 Strict matches (base spans) always stay; the classifier adds spans where it
 sees no base span. Positions are code points, ends exclusive. Nulls count as
@@ -34,7 +35,6 @@ from .common import map_slices, staged
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "border")
-FIT_SPANS = 20_000
 EM_ROUNDS = 60
 THRESHOLD = 0.5
 
@@ -208,14 +208,31 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS)
     return belief, tables
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression on soft labels by Newton's method."""
-    w = np.zeros(x.shape[1])
+def _sums(groups: DataFrame, belief: dict[tuple, float], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the log likelihood at w over all candidates, without the ridge."""
+    width = len(w)
+
+    def run(batches):
+        slope, curve = np.zeros(width), np.zeros((width, width))
+        for batch in batches:
+            x = np.asarray(batch.column("features").flatten(), dtype=np.float64).reshape(-1, width)
+            n = batch.column("n").to_numpy().astype(np.float64)
+            y = np.array([belief[k, tuple(v)] for k, v in zip(batch.column("kind").to_pylist(), batch.column("votes").to_pylist(), strict=True)])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope += x.T @ (n * (y - p))
+            curve += (x * (n * p * (1 - p))[:, None]).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([slope.tolist()]), pa.array([curve.ravel().tolist()])], ["slope", "curve"])
+
+    parts = groups.mapInArrow(run, "slope array<double>, curve array<double>").collect()
+    return sum(np.array(r["slope"]) for r in parts), sum(np.array(r["curve"]) for r in parts).reshape(width, width)
+
+
+def _logistic(groups: DataFrame, belief: dict[tuple, float], width: int, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
+    """Ridge logistic regression on soft labels by Newton's method over weighted groups."""
+    w = np.zeros(width)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - ridge * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(curve, slope)
+        slope, curve = _sums(groups, belief, w)
+        step = np.linalg.solve(curve + ridge * np.eye(width), slope - ridge * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -249,8 +266,8 @@ def _touches(taken: list[tuple[int, int]], start: int, end: int) -> bool:
     return any(s < end and start < e for s, e in taken) if len(taken) < 32 else bool(np.any((np.array(taken)[:, 0] < end) & (np.array(taken)[:, 1] > start)))
 
 
-def fit(docs: DataFrame, most: int = FIT_SPANS) -> SpanModel:
-    """Votes over all texts, reliabilities from all vote patterns, the classifier from at most `most` candidates."""
+def fit(docs: DataFrame) -> SpanModel:
+    """Votes over all texts, reliabilities from all vote patterns, the classifier from all candidates."""
 
     def work():
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -264,21 +281,19 @@ def fit(docs: DataFrame, most: int = FIT_SPANS) -> SpanModel:
 
         return step
 
-    found = staged(map_slices(docs.select("text"), "text", work, "kind int, votes array<int>, features array<double>"), "candidates")
-    counted = found.groupBy("kind", "votes").count().collect()
+    found = map_slices(docs.select("text"), "text", work, "kind int, votes array<int>, features array<double>")
+    groups = staged(found.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")), "groups")
+    counted = groups.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
     belief: dict[tuple, float] = {}
     reliabilities = {}
     for kind in sorted({r["kind"] for r in counted}):
-        own = sorted((tuple(r["votes"]), r["count"]) for r in counted if r["kind"] == kind)
+        own = sorted((tuple(r["votes"]), r["n"]) for r in counted if r["kind"] == kind)
         p, tables = estimate(np.array([v for v, _ in own]), np.array([n for _, n in own], dtype=float))
         belief |= {(kind, v): float(b) for (v, _), b in zip(own, p, strict=True)}
         reliabilities[KINDS[kind]] = np.round(tables, 4).tolist()
-    sample = found.orderBy(F.xxhash64("features", "votes"), "kind").limit(most).collect()
-    if not sample:
+    if not counted:
         return SpanModel([], reliabilities)
-    x = np.array([r["features"] for r in sample])
-    y = np.array([belief[r["kind"], tuple(r["votes"])] for r in sample])
-    return SpanModel(_logistic(x, y).tolist(), reliabilities)
+    return SpanModel(_logistic(groups, belief, len(features("1", 0, 0, 1))).tolist(), reliabilities)
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:

@@ -93,3 +93,23 @@ def test_odd_rows(odd_docs, no_docs, model):
     assert pii.mask_personal_data(odd_docs, model).columns == odd_docs.columns
     assert pii.find_personal_data(no_docs).count() == 0 and pii.mask_personal_data(no_docs).count() == 0
     assert pii.fit(no_docs).weights == []
+
+
+def test_the_classifier_is_fitted_on_every_candidate(spark):
+    """More copies of one candidate than any bounded sample holds, and few of the others: the slope over all is 0."""
+    rng = random.Random(3)
+    rare = [f"mail to u{k}@site{k % 7}.{rng.choice(['com', 'zz'])} or {rng.randrange(400)}.{rng.randrange(300)}.3.{k}, key = Ab{rng.randrange(10**20, 10**22)}xY" for k in range(60)]
+    texts = ["call +1 555-010-9999 now"] * 15000 + ["version 1.2.3.4"] * 15000 + rare
+    found = [(t, *c) for t in set(texts) for c in pii.candidates(t)[1]]
+    counts = np.array([texts.count(t) for t, *_ in found], float)
+    ballots = [tuple(pii.votes(*c)) for c in found]
+    belief = np.zeros(len(found))
+    for kind in {c[1] for c in found}:
+        own = [k for k, c in enumerate(found) if c[1] == kind]
+        patterns = sorted({ballots[k] for k in own})
+        p, _ = pii.estimate(np.array(patterns), np.array([sum(counts[k] for k in own if ballots[k] == v) for v in patterns]))
+        belief[own] = [p[patterns.index(ballots[k])] for k in own]
+    x = np.array([pii.features(*c[:4]) for c in found])
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    w = np.array(pii.fit(docs).weights)
+    assert np.abs(x.T @ (counts * (belief - 1 / (1 + np.exp(-(x @ w))))) - w).max() < 1e-3
