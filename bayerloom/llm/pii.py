@@ -47,7 +47,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Wider candidates.
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63})+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])")
-_KEY = re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,200}(?![A-Za-z0-9_])")
+_KEY = re.compile(r"[A-Za-z0-9_-]{20,}")  # whole runs; those without a digit are left out afterwards
+_DIGIT = re.compile(r"[0-9]")
 #: Gazetteers.
 _TOP_LEVEL = frozenset("com org net edu gov mil int info biz io ai co uk de fr es it nl eu us ca au ch at be se no dk fi pl pt ru jp cn in br mx example test".split())
 _CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "351", "352", "353", "358", "380", "420", "971", "972")
@@ -118,7 +119,7 @@ def candidates(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple
     wide = [(k, s, e, strict) for k, s, e, strict in found if strict or k != 2 or e - s <= 30]
     wide += [(0, *m.span(), False) for m in _SPELLED.finditer(text)] if "at" in text else []
     wide += [(3, *m.span(), False) for m in _LOCAL_PHONE.finditer(text)]
-    wide += [(4, *m.span(), False) for m in _KEY.finditer(text) if not m[0].isdigit()]
+    wide += [(4, *m.span(), False) for m in _KEY.finditer(text) if _DIGIT.search(m[0]) and not m[0].isdigit()]
     return sorted(base), wide
 
 

@@ -113,3 +113,13 @@ def test_the_classifier_is_fitted_on_every_candidate(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     w = np.array(pii.fit(docs).weights)
     assert np.abs(x.T @ (counts * (belief - 1 / (1 + np.exp(-(x @ w))))) - w).max() < 1e-3
+
+
+def test_long_keys_are_candidates(model):
+    rng = random.Random(8)
+    for n in (20, 200, 201, 5000):
+        key = "sk-4" + "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789_-") for _ in range(n - 4))
+        text = f'api key = "{key}" and more'
+        assert (4, 11, 11 + n, False) in pii.candidates(text)[1]
+        assert (4, 11, 11 + n) in model.spans(text)[1]
+    assert not [c for c in pii.candidates("a-" * 100000 + " " + "-" * 30)[1] if c[0] == 4]
