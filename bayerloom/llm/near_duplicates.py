@@ -14,16 +14,23 @@ No group is expanded into pairs. Equal texts are one node, named by their MD5.
 In each band's bucket all members are compared with two hubs only: the most
 central node (whose buckets are the largest: what near copies were made from
 shares bands with most of them) and a random one; and components are formed.
-Buckets that then still hold several components are worked out further: up to
-SMALL members at once in a task, larger ones after being split by one more
-sample, SPLITS overlapping ways, at most LEVELS times. There, every node outside
-the bucket's largest component is compared with all others, first by its samples
-(CROSSING must agree), then by FINE_SAMPLES more that only such nodes get
-(FINE_AGREEING must; either leaves out 3e-4 of 0.8-similar pairs). Of those in
-other components its best two are verified, in later rounds more (WINDOWS), in
-the last round all. So members that are soon linked cost a few comparisons, and
-only the rest of a group is compared with all that look similar enough. A pair
-belongs to the first band that it shares and is proposed in that bucket alone.
+Buckets that then still hold several components are worked out further. There,
+every node outside the bucket's largest component is compared with all others,
+first by its samples (CROSSING must agree), then by FINE_SAMPLES more that only
+such nodes get (FINE_AGREEING must; either leaves out 3e-4 of 0.8-similar
+pairs). Of those in other components its best two are verified, in later rounds
+more (WINDOWS), in the last round all. So members that are soon linked cost a
+few comparisons, and only the rest of a group is compared with all that look
+similar enough. A pair belongs to the first band that it shares and is proposed
+in that bucket alone.
+
+Buckets of up to SMALL members are one task's work. Larger ones are, in the
+rounds before the last, split by one more sample of another band, SPLITS
+overlapping ways, at most LEVELS times: that finds most links cheaply, but not
+those of pairs that the splits part. In the last round larger buckets are not
+split: members outside the largest component and all members are dealt into
+blocks of about SMALL, and every block of the former meets every one of the
+latter, so that no pair is left out.
 
 A text of one to four words is one shingle of all its words. Wordless texts and
 null texts are nobody's near duplicate; equal wordless texts are one class, null
@@ -36,6 +43,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -268,39 +276,91 @@ def _cross_links(members: DataFrame, of: DataFrame, fine: DataFrame | None, text
     for level in range(LEVELS + 1):
         if todo.isEmpty():
             break
-        small = todo.where(F.col("n") <= SMALL) if level < LEVELS else todo
+        small = todo.where(F.col("n") <= SMALL) if level < LEVELS or window is None else todo
         links = small.select("bucket", "band", "node", "sketch", "component").join(fine, "node").groupBy("bucket").applyInArrow(best, "a string, b string").distinct()
         found = links if found is None else found.unionByName(links)
         if level < LEVELS:
-            if todo.where(F.col("n") > SMALL).isEmpty():
+            large = todo.where(F.col("n") > SMALL)
+            if large.isEmpty():
                 break
-            ways = F.array(*[F.lit(level * SPLITS + j) for j in range(SPLITS)])
+            if window is None:
+                found = found.unionByName(_blocked_links(large, fine))
+                break
+            # samples of other bands: all members agree in those of their own
+            ways = F.array(*[((F.col("band") + 1 + level) % BANDS * ROWS + j % ROWS).cast("int") for j in range(SPLITS)])
             split = todo.where(F.col("n") > SMALL).select(F.explode(ways).alias("k"), "bucket", "band", "node", "sketch", "component")
             todo = _mixed(split.select(F.xxhash64("bucket", "k", F.expr("substring(sketch, k * 4 + 1, 4)")).alias("bucket"), "band", "node", "sketch", "component"))
     return None if found is None else staged(found.distinct(), "cross"), fine
 
 
-def _best_partners(group: pa.Table, window: int | None) -> pa.Table:
-    """Of each member outside the bucket's largest component, its best partners in other components, of the pairs whose first shared band this is."""
+def _blocked_links(large: DataFrame, fine: DataFrame) -> DataFrame:
+    """All pairs of members outside the largest component of their bucket with members of other components, in blocks."""
+    held = large.groupBy("bucket", "component").agg(F.count("*").alias("held")).groupBy("bucket").agg(F.max(F.struct("held", "component")).alias("top"))
+    held = staged(held.select("bucket", F.col("top.held").alias("held"), F.col("top.component").alias("largest")), "largest")
+    rows = large.join(held, "bucket").select("bucket", "band", "node", "sketch", "component", (F.col("component") != F.col("largest")).alias("outside"), "n", "held")
+
+    def blocks(n):
+        return F.ceil(n / F.lit(SMALL)).cast("int")
+
+    def own(n):
+        return F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+
+    few, columns = F.col("n") - F.col("held"), ("bucket", "band", "node", "sketch", "component")
+    asking = rows.where("outside").select(*columns, own(few).alias("i"), F.lit(True).alias("asks"), every(F.col("n")).alias("j"))
+    asked = rows.select(*columns, own(F.col("n")).alias("j"), F.lit(False).alias("asks"), every(few).alias("i"))
+    dealt = asking.unionByName(asked).join(fine, "node")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(_block_partners, "a string, b string").distinct()
+
+
+def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes in order, their components, samples and further samples."""
     nodes = np.array(group.column("node").to_pylist(), dtype=object)
     order = np.argsort(nodes)
-    nodes = nodes[order]
-    component = np.unique(np.array(group.column("component").to_pylist(), dtype=object)[order], return_inverse=True)[1]
+    component = np.array(group.column("component").to_pylist(), dtype=object)[order]
     codes = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint32).reshape(len(nodes), SAMPLES)[order]
     fine = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint16).reshape(len(nodes), FINE_SAMPLES)[order]
+    return nodes[order], component, codes, fine
+
+
+def _alike(code: np.ndarray, fine: np.ndarray, codes: np.ndarray, fines: np.ndarray, near: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of `near` those that agree enough with one node and share no earlier band with it, and how many further samples agree."""
+    equal = codes[near] == code
+    first = ~equal[:, : band * ROWS].reshape(len(near), band, ROWS).all(axis=2).any(axis=1)
+    near = near[first & (equal.sum(axis=1) >= CROSSING)]
+    same = (fines[near] == fine).sum(axis=1)
+    return near[same >= FINE_AGREEING], same[same >= FINE_AGREEING]
+
+
+def _pairs(nodes: list[tuple[str, str]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in nodes], pa.string()), "b": pa.array([b for _, b in nodes], pa.string())})
+
+
+def _block_partners(group: pa.Table) -> pa.Table:
+    """Of each asking node in a block all partners among the asked ones of other components."""
+    asks = group.column("asks")
+    nodes, component, codes, fine = _columns(group.filter(asks))
+    others, other_component, other_codes, other_fine = _columns(group.filter(pc.invert(asks)))
+    band, found = group.column("band")[0].as_py(), set()
+    for k in range(len(nodes)):
+        near, _ = _alike(codes[k], fine[k], other_codes, other_fine, np.flatnonzero(other_component != component[k]), band)
+        found.update((min(nodes[k], others[j]), max(nodes[k], others[j])) for j in near.tolist())
+    return _pairs(sorted(found))
+
+
+def _best_partners(group: pa.Table, window: int | None) -> pa.Table:
+    """Of each member outside the bucket's largest component, its best partners in other components, of the pairs whose first shared band this is."""
+    nodes, component, codes, fine = _columns(group)
+    component = np.unique(component, return_inverse=True)[1]
     band = group.column("band")[0].as_py()
     largest = np.bincount(component).argmax()
     found = set()
     for k in np.flatnonzero(component != largest).tolist():
-        near = np.flatnonzero(component != component[k])
-        equal = codes[near] == codes[k]
-        first = ~equal[:, : band * ROWS].reshape(len(near), band, ROWS).all(axis=2).any(axis=1)
-        near = near[first & (equal.sum(axis=1) >= CROSSING)]
-        same = (fine[near] == fine[k]).sum(axis=1)
-        near, same = near[same >= FINE_AGREEING], same[same >= FINE_AGREEING]
+        near, same = _alike(codes[k], fine[k], codes, fine, np.flatnonzero(component != component[k]), band)
         found.update((min(k, j), max(k, j)) for j in near[np.argsort(-same, kind="stable")][:window].tolist())
-    a, b = ([nodes[pair[side]] for pair in sorted(found)] for side in (0, 1))
-    return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+    return _pairs([(nodes[a], nodes[b]) for a, b in sorted(found)])
 
 
 def _node():

@@ -109,3 +109,22 @@ def test_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(by_id.values()))
     assert nd.duplicate_classes(no_docs).count() == 0 and nd.one_of_each_class(no_docs).count() == 0
+
+
+def test_pairs_that_splits_part_are_proposed(spark, monkeypatch):
+    """In a large bucket every pair of its first shared band that agrees enough is tried in the last round, whatever the splits part."""
+    monkeypatch.setattr(nd, "SMALL", 8)
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(60):
+        a = rng.integers(0, 2**32, nd.SAMPLES, dtype=np.uint32)
+        a[nd.ROWS : nd.ROWS * 2] = 7  # all in one bucket of band 1
+        b = a.copy()
+        b[: nd.ROWS] += 1
+        b[nd.ROWS * 2 : nd.ROWS * 6] += 1  # no split by samples of near bands keeps the two together
+        fine = rng.integers(0, 2**16, nd.FINE_SAMPLES, dtype=np.uint16).tobytes()
+        rows += [(5, 1, f"n{k:02}{side}", bytearray(c.tobytes()), bytearray(fine)) for side, c in (("a", a), ("b", b))]
+    every = spark.createDataFrame(rows, "bucket long, band int, node string, sketch binary, fine binary")
+    of = spark.createDataFrame([], "node string, component string")
+    links, _ = nd._cross_links(every.drop("fine"), of, every.select("node", "fine"), None, None, None)
+    assert sorted(tuple(r) for r in links.collect()) == [(f"n{k:02}a", f"n{k:02}b") for k in range(60)]
