@@ -122,6 +122,18 @@ def test_one_large_graph_reaches_the_recall():
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, best, strict=True)]) >= 0.9
 
 
+def test_a_full_shard_reaches_the_recall():
+    """Random unit vectors, which have no structure to help, and queries from outside the graph."""
+    n = ann.ROWS_PER_SHARD
+    assert n <= 20_000, "recall is measured for no larger shards"
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(n + 200, 64))
+    points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
+    found = ann.SmallWorldGraph(points[:n]).search(points[n:], ann.SEARCH_BEAM)[:, :20]
+    best = np.argsort(-(points[n:] @ points[:n].T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, best, strict=True)]) >= 0.9
+
+
 def test_odd_vectors(spark):
     good = [(k, [float(k % 5), 1.0, float(k)]) for k in range(12)]
     bad = [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0]), (103, [1.0, float("nan"), 2.0]), (104, [1.0, float("inf"), 2.0]), (105, [1.0]), (None, [1.0, 1.0, 1.0])]
