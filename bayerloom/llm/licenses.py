@@ -8,6 +8,12 @@ their equal ends are matched. A template's coverage is its share of aligned
 words. Of templates that cover overlapping places the one with most aligned
 words counts, so that a notice isn't reported as another that it contains.
 
+Notices in parts, with any amount of text between, are chains of stretches of
+seeds, increasing in text and template; the gaps between stretches are aligned.
+A chain counts where it shares no words with the notices found so far, contains
+them, or makes a single one of the same template fuller; text between its parts
+may hold other notices. Parts need SEED_WORDS consecutive words to be seen.
+
 Templates are a fixed list of some KB. Null and wordless texts match nothing;
 each row (repeated ones and null ids too) gives its own rows; ties go to the
 earlier place, then to the template that is listed first. An empty table gives
@@ -100,6 +106,62 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
+def chains(seeds: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Chains of two or more stretches (place in the text, in the template, seeds), both places increasing, heaviest first.
+
+    A stretch weighs its seeds; passing over other stretches of 4 or more seeds,
+    such as another copy, costs theirs.
+    """
+    stretches: list[list[int]] = []
+    for p, q in sorted(set(seeds), key=lambda s: (s[0] - s[1], s[0])):
+        if stretches and (last := stretches[-1])[0] + last[2] == p and last[1] + last[2] == q:
+            last[2] += 1
+        else:
+            stretches.append([p, q, 1])
+    stretches.sort()
+    at, of, n = np.array(stretches, dtype=np.int64).T
+    passed = np.concatenate([[0], np.cumsum(np.where(n >= 4, n, 0))])
+    after, before = passed[np.searchsorted(at, at + n)], passed[np.searchsorted(at, at)]
+    weight, back = n.copy(), np.full(len(n), -1)
+    for j in range(1, len(n)):
+        over = np.maximum(0, np.maximum(at[:j] + n[:j] - at[j], of[:j] + n[:j] - of[j]))
+        gain = weight[:j] - over - np.maximum(0, before[j] - after[:j])
+        gain[(at[:j] >= at[j]) | (of[:j] >= of[j]) | (over >= n[j])] = 0
+        best = j - 1 - int(gain[::-1].argmax())
+        if gain[best] > 0:
+            weight[j] += gain[best]
+            back[j] = best
+    out, used = [], np.zeros(len(n), bool)
+    for j in np.argsort(-weight, kind="stable").tolist():
+        chain = []
+        while j >= 0 and not used[j]:
+            used[j] = True
+            chain.append(tuple(stretches[j]))
+            j = int(back[j])
+        if len(chain) > 1:
+            out.append(chain[::-1])
+    return out
+
+
+def align_chain(doc: list[int], words: list[int], chain: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Pairs of a chain's words and of what aligns before, between and after its stretches."""
+    pairs, p0, q0 = [], max(0, chain[0][0] - chain[0][1] - 2), 0
+    for p, q, n in [*chain, (None, len(words), 0)]:
+        if p is None:
+            p = min(len(doc), p0 + len(words) - q0 + 2)
+        else:
+            n += SEED_WORDS - 1
+            cut = max(0, p0 - p, q0 - q)
+            p, q, n = p + cut, q + cut, n - cut
+            if n <= 0:
+                continue
+        if q0 < q:
+            pairs += [(p0 + x, q0 + y) for x, y in align(doc[p0:p], words[q0:q])]
+        pairs += [(p + x, q + x) for x in range(n)]
+        p0, q0 = p + n, q + n
+    return pairs
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         hashes, offsets = word_hashes(pa.array([t for _, t in templates], pa.string()))
@@ -115,13 +177,13 @@ class Scanner:
 
     def scan_words(self, doc: list[int], starts: list[tuple[int, int]], least: float) -> list[tuple[int, float, int, int, int]]:
         """(template, coverage, aligned words, first and one past the last word) of each notice; starts: (seed code, place)."""
-        offsets: dict[int, set[int]] = defaultdict(set)
+        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for code, p in starts:
             for k, q in self.seeds[code]:
-                offsets[k].add(p - q)
-        found = []
-        for k, places in offsets.items():
-            words = self.words[k]
+                seeds[k].append((p, q))
+        found, parted = [], []
+        for k, own in seeds.items():
+            words, places = self.words[k], {p - q for p, q in own}
             slack = len(words) // 4 + 2
             runs: list[list[int]] = []
             for place in sorted(places):
@@ -133,12 +195,22 @@ class Scanner:
                 a, b = max(0, run[0] - 2), min(len(doc), run[-1] + len(words) + 2)
                 pairs = align(doc[a:b], words)
                 if pairs and len(pairs) >= least * len(words):
-                    found.append((len(pairs), -(a + pairs[0][0]), -k, a + pairs[-1][0] + 1))
-        kept: list[tuple[int, float, int, int, int]] = []
-        for n, start, k, end in sorted(found, reverse=True):
-            if not any(-start < e and s < end for _, _, _, s, e in kept):
-                kept.append((-k, n / len(self.words[-k]), n, -start, end))
-        return sorted(kept, key=lambda x: x[3])
+                    found.append((len(pairs), -(a + pairs[0][0]), -k, a + pairs[-1][0] + 1, frozenset(a + p for p, _ in pairs)))
+            if len(places) > 1:
+                for chain in chains(own):
+                    pairs = align_chain(doc, words, chain)
+                    if len(pairs) >= least * len(words):
+                        parted.append((len(pairs), -pairs[0][0], -k, pairs[-1][0] + 1, frozenset(p for p, _ in pairs)))
+        kept: list[tuple[int, int, int, int, frozenset[int]]] = []
+        for hit in sorted(found, key=lambda h: h[:4], reverse=True):
+            if not any(-hit[1] < e and -s < hit[3] for _, s, _, e, _ in kept):
+                kept.append(hit)
+        for hit in sorted(parted, key=lambda h: h[:4], reverse=True):
+            met = [other for other in kept if other[4] & hit[4]]
+            fuller = all(other[0] < hit[0] for other in met)
+            if fuller and (all(other[4] <= hit[4] for other in met) or len(met) == 1 and met[0][2] == hit[2]):
+                kept = [*(other for other in kept if other not in met), hit]
+        return sorted(((-k, n / len(self.words[-k]), n, -start, end) for n, start, k, end, _ in kept), key=lambda x: x[3])
 
     def scan(self, texts: pa.Array, least: float) -> list[list[tuple[str, float, int, int, int]]]:
         hashes, offsets = word_hashes(texts)

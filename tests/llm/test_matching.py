@@ -116,3 +116,24 @@ def test_every_verbatim_notice_is_found(spark):
     expected = {(r["doc_id"], n): r["text"].count(line) for r in docs.collect() for n, line in lines.items() if line in r["text"]}
     assert expected and all(found.get(k, 0) >= v for k, v in expected.items())
     assert np.isfinite([r["coverage"] for r in li.scan_licenses(docs).collect()]).all()
+
+
+def test_notices_in_parts_are_found():
+    scanner = li.Scanner()
+    mit = words_of(next(t for n, t in li.TEMPLATES if n == "MIT" and t.startswith("Permission")))
+    gpl = words_of(next(t for n, t in li.TEMPLATES if n == "GPL-2.0"))
+
+    def names(*parts):
+        return [(h[0], h[1]) for h in scanner.scan(pa.array([" ".join(w for p in parts for w in p)]), 0.8)[0]]
+
+    for n in (10, 30, 500):
+        page = [f"w{k}" for k in range(n)]
+        for words, name in ((mit, "MIT"), (gpl, "GPL-2.0")):
+            a, b = words[: len(words) // 2], words[len(words) // 2 :]
+            assert names(page, a, page, b, page) == [(name, 1.0)]
+            assert names(a, page, b, page, a, page, b) == [(name, 1.0)] * 2
+            assert names(words, page, a, page, b, words) == [(name, 1.0)] * 3
+        assert names(mit[:30], page, mit[30:60], page, mit[60:]) == [("MIT", 1.0)]
+        assert names(mit[:80], page, mit[80:]) == [("MIT", 1.0)]
+        assert names(mit[:40], page, words_of("Released under the BSD License."), page, mit[40:]) == [("MIT", 1.0), ("BSD", 1.0)]
+        assert names(words_of("Licensed under CC BY-NC 4.0."), page, words_of("Licensed under CC BY-SA 4.0.")) == [("CC-BY-NC-4.0", 1.0), ("CC-BY-SA-4.0", 1.0)]
