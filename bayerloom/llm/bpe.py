@@ -3,13 +3,23 @@
 The encoding of a prefix is known from its last token: with last token t it is
 the encoding of the prefix without t, then t, and t is the one vocabulary entry
 ending there that may follow the last token of that shorter prefix. So the
-distinct new words of a slice go into a trie, and a depth-first walk computes
-one last token for each node: what words have in common is encoded once.
+distinct new words of a slice form a trie, and a depth-first walk computes one
+last token for each node: what words have in common is encoded once. The trie
+is held as its words in byte order, each with the length of the prefix that it
+shares with the word before: that is the depth-first order of its nodes, and
+only the states of the path to the current one are kept. Entries that end at a
+node come from an automaton of the vocabulary, whose state is part of the node's.
 
 Two tokens may stand side by side if no merge would ever join symbols across
 their border; only the symbols that touch the border while each token is being
 built (its spine) can take part.
 
+Most texts consist of chunks between single spaces, and a chunk's words don't
+depend on what is around it; so chunks and words that were seen are looked up.
+Worker processes keep what they have seen, up to fixed numbers of short words,
+chunks, and pairs of tokens. A word of any length costs 4 bytes a byte beside
+its tokens.
+
 Nulls count as empty texts: 0 tokens, hashes of nothing. A null doc_id stays
 null, every row gives one row, an empty table gives an empty result, and only
 doc_id and text are read.
@@ -17,11 +27,14 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
+from array import array
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,6 +45,9 @@ from .token_counts import SPACE, byte_alphabet
 REMEMBERED_WORDS = 250_000
 REMEMBERED_LENGTH = 48
 REMEMBERED_PAIRS = 400_000
+REMEMBERED_MOVES = 400_000
+LONG_WORD = 256
+SLICE_BYTES = 4 << 20
 _NEVER = 1 << 40
 
 #: How byte-level vocabularies cut texts into words before merging.
@@ -39,10 +55,34 @@ _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^%(s)
 _ANY_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^%(s)s\p{L}\p{N}]+|[%(s)s]+(?![^%(s)s])|[%(s)s]+" % {"s": SPACE})
 
 
+_AT_BORDER = re.compile(r"[%(s)s]|.*[%(s)s]\Z" % {"s": SPACE}, re.DOTALL)
+
+
 def split_words(text: str) -> list[str]:
     return (_ASCII_WORD if text.isascii() else _ANY_WORD).findall(text)
 
 
+def shared_lengths(words: list[bytes]) -> list[int]:
+    """How many leading bytes each of the sorted words shares with the one before, up to LONG_WORD."""
+    width = 32
+    found = np.zeros(len(words), np.int64)
+    for at in range(0, len(words), 1 << 16):
+        part = words[max(at - 1, 0) : at + (1 << 16)]
+        table = np.frombuffer(b"".join(w[:width].ljust(width, b"\0") for w in part), np.uint8).reshape(-1, width)
+        differ = table[1:] != table[:-1]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        lengths = np.array([min(len(w), width) for w in part])
+        found[at + (at == 0) : at + (1 << 16)] = np.minimum(first, np.minimum(lengths[1:], lengths[:-1]))
+    out = found.tolist()
+    for k in np.flatnonzero(found == width).tolist():
+        a, b = words[k - 1], words[k]
+        n, most = width, min(len(a), len(b), LONG_WORD)
+        while n < most and a[n] == b[n]:
+            n += 1
+        out[k] = n
+    return out
+
+
 class TrieEncoder:
     """Words to tuples of token ids, and ids back to bytes."""
 
@@ -59,16 +99,60 @@ class TrieEncoder:
             made = ids[left + right]
             self.rank.setdefault(ids[left] << 32 | ids[right], rank)
             self.halves.setdefault(made, (rank, ids[left], ids[right]))
-        self.size = {i: len(b) for i, b in self.bytes_of.items()}
-        self.lengths = [3, 2, 4, 1, *range(5, max(self.size.values()) + 1)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        self.size = {i: len(b) for i, b in self.bytes_of.items()}
+        self.digits = {i: str(i) for i in self.bytes_of}
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.older_chunks: dict[str, tuple[int, ...]] = {}
         self._spines: dict[int, tuple[list, list]] = {}
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """The vocabulary's own trie (edges), each node's longest proper suffix that is a node (fail), and the tokens that end there."""
+        edges: dict[int, int] = {}
+        parent, label, token_at = [0], [0], {}
+        for text, token in self.id_of.items():
+            node = 0
+            for byte in text:
+                key = node << 8 | byte
+                if key not in edges:
+                    edges[key] = len(parent)
+                    parent.append(node)
+                    label.append(byte)
+                node = edges[key]
+            token_at[node] = token
+        depth = [0] * len(parent)
+        for node in range(1, len(parent)):
+            depth[node] = depth[parent[node]] + 1
+        fail = [0] * len(parent)
+        self.edges, self.fail = edges, fail
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(parent)
+        for node in sorted(range(1, len(parent)), key=depth.__getitem__):
+            if depth[node] > 1:
+                back = fail[parent[node]]
+                while back and back << 8 | label[node] not in edges:
+                    back = fail[back]
+                fail[node] = edges.get(back << 8 | label[node], 0)
+            own = token_at.get(node)
+            stand = own is not None and self.stands(own)
+            self.ends[node] = (((depth[node], own),) if stand else ()) + self.ends[fail[node]]
+        self.moves: dict[int, int] = {}
+
+    def move(self, state: int, byte: int) -> int:
+        """The automaton's next state, remembered."""
+        at = state
+        while at and at << 8 | byte not in self.edges:
+            at = self.fail[at]
+        if len(self.moves) >= REMEMBERED_MOVES:
+            self.moves.clear()
+        found = self.moves[state << 8 | byte] = self.edges.get(at << 8 | byte, 0)
+        return found
 
     def spines(self, token: int) -> tuple[list, list]:
         """The symbols that touch the token's left and right border as it is built, each with the rank that ends it."""
@@ -107,120 +191,161 @@ class TrieEncoder:
         return first
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self.stands(right) and self.meet(left, right) == _NEVER
+        known = self.meet(left, right) == _NEVER
         if len(self._pairs) >= REMEMBERED_PAIRS:
             self._pairs.clear()
         self._pairs[left << 32 | right] = known
         return known
 
-    def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+    def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...] | array]:
         """The encodings of distinct words by one depth-first walk over their trie."""
-        edges: dict[int, int] = {}
-        children: list[list[int]] = [[]]
-        label = bytearray(1)
-        ends: dict[int, str] = {}
-        for word in words:
-            node = 0
-            for byte in word.encode():
-                key = node << 8 | byte
-                child = edges.get(key)
-                if child is None:
-                    child = edges[key] = len(label)
-                    children[node].append(child)
-                    children.append([])
-                    label.append(byte)
-                node = child
-            ends[node] = word
-        del edges
-        made: dict[str, tuple[int, ...]] = {}
-        id_of, pairs, may_follow, stands, size = self.id_of.get, self._pairs, self.may_follow, self.stands, self.size
-        lengths = self.lengths
-        last = [0] * 2
-        longest = lengths[-1]
-        stack = [(child, b"", 1) for child in reversed(children[0])]
-        while stack:
-            node, tail, depth = stack.pop()  # tail: as much of the path as a token can cover
-            tail = tail[-longest:] + label[node : node + 1]
-            if depth >= len(last):
-                last.append(0)
-            for length in lengths:  # one length fits, so their order is free
-                if length <= depth:
-                    token = id_of(tail[-length:])
-                    if token is not None:
-                        if length == depth:
-                            if stands(token):
-                                break
-                        else:
-                            key = last[depth - length] << 32 | token
-                            fits = pairs.get(key)
-                            if fits is None:
-                                fits = may_follow(last[depth - length], token)
-                            if fits:
-                                break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-            last[depth] = token
-            word = ends.get(node)
-            if word is not None:
-                tokens, at = [], depth
-                while at:
-                    tokens.append(last[at])
-                    at -= size[last[at]]
-                tokens.reverse()
-                made[word] = tuple(tokens)
-            for child in children[node]:
-                stack.append((child, tail, depth + 1))
+        made: dict[str, tuple[int, ...] | array] = {}
+        if not words:
+            return made
+        moves, move, ends, pairs, may_follow = self.moves.get, self.move, self.ends, self._pairs.get, self.may_follow
+        size = self.size
+        # the path to the current node: its automaton states and the last tokens of its prefixes
+        states, last = [0] * (LONG_WORD + 1), [0] * (LONG_WORD + 1)
+        ordered = sorted((w.encode(), w) for w in words)
+        for shared, (code, word) in zip(shared_lengths([c for c, _ in ordered]), ordered, strict=True):
+            path = last
+            if len(code) > LONG_WORD:
+                path = array("i", last)
+                path.frombytes(bytes(4 * (len(code) - LONG_WORD)))
+            depth, state = shared, states[shared]
+            for byte in memoryview(code)[shared:]:
+                depth += 1
+                known = moves(state << 8 | byte)
+                state = move(state, byte) if known is None else known
+                for length, token in ends[state]:
+                    if length == depth:
+                        break
+                    before = path[depth - length]
+                    fits = pairs(before << 32 | token)
+                    if may_follow(before, token) if fits is None else fits:
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+                path[depth] = token
+                if depth <= LONG_WORD:
+                    states[depth] = state
+            if path is not last:
+                last[:] = path[: LONG_WORD + 1].tolist()
+            tokens, at = [] if path is last else array("i"), depth
+            while at:
+                token = path[at]
+                tokens.append(token)
+                at -= size[token]
+            tokens.reverse()
+            made[word] = tuple(tokens) if path is last else tokens
         return made
 
+    def _learn(self, texts: set[str]) -> None:
+        """Remember the words of all these texts."""
+        words, older = self.words, self.older
+        new = texts.difference(words)
+        known = new.intersection(older)
+        for word in known:
+            words[word] = older[word]
+        words |= self.encode_words(new - known)
+
+    def _forget(self, seen: set[str], chunks: set[str]) -> None:
+        """Drop the long ones of what was just seen, and the older half of what is remembered when it is too much."""
+        for held, new in ((self.words, seen), (self.chunks, chunks)):
+            for text in [t for t in new if len(t) > REMEMBERED_LENGTH]:
+                del held[text]
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words, self.older = {}, self.words
+        if len(self.chunks) > REMEMBERED_WORDS:
+            self.chunks, self.older_chunks = {}, self.chunks
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """Token ids of each text, equal texts once."""
+        distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles are made, and looking for them among all that is remembered is slow
+        try:
+            found = self._encode(list(distinct))
+        finally:
+            if collecting:
+                gc.enable()
+        return [found[distinct[t]] for t in texts]
+
+    def _encode(self, texts: list[str | None]) -> list[list[int]]:
+        """Token ids of distinct texts. A part of a text is a special token's id, a list of words, or a (first words, chunks) pair."""
         cut: list[list] = []
+        chunks: set[str] = set()
         for text in texts:
             if not text:
                 cut.append([])
-            elif self.special_split is None or not any(s in text for s in self.special):
-                cut.append([split_words(text)])
-            else:
+            elif self.special_split is not None and any(s in text for s in self.special):
                 cut.append([self.special[p] if p in self.special else split_words(p) for p in self.special_split.split(text) if p])
-        words, older = self.words, self.older
-        new = set()
-        for word in set(chain.from_iterable(p for parts in cut for p in parts if isinstance(p, list))):
-            if word not in words:
-                if word in older:
-                    words[word] = older[word]
-                else:
-                    new.add(word)
-        words |= self.encode_words(new)
-        get = self.words.__getitem__
+            else:
+                parts = text.split(" ")
+                cut.append([(split_words(parts[0]), parts[1:])])
+                chunks.update(parts[1:])
+        new = chunks.difference(self.chunks)
+        # a chunk that is empty or has white space at an end is not cut as it would be among its neighbours
+        odd = {c for c in new if not c or _AT_BORDER.match(c)}
+        new -= odd
+        for chunk in new.intersection(self.older_chunks):
+            self.chunks[chunk] = self.older_chunks[chunk]
+        new = new.difference(self.chunks)
+        if odd:
+            for k, parts in enumerate(cut):
+                if parts and isinstance(parts[0], tuple) and not odd.isdisjoint(parts[0][1]):
+                    cut[k] = [split_words(texts[k])]
+        inside = {c: split_words(" " + c) for c in new}
+        words = set(chain.from_iterable(inside.values()))
+        for parts in cut:
+            for part in parts:
+                if not isinstance(part, int):
+                    words.update(part[0] if isinstance(part, tuple) else part)
+        self._learn(words)
+        get, get_chunk = self.words.__getitem__, self.chunks.__getitem__
+        for chunk, own in inside.items():
+            self.chunks[chunk] = get(own[0]) if len(own) == 1 else tuple(chain.from_iterable(map(get, own)))
         found = []
         for parts in cut:
             ids: list[int] = []
             for part in parts:
                 if isinstance(part, int):
                     ids.append(part)
+                elif isinstance(part, tuple):
+                    ids.extend(chain.from_iterable(map(get, part[0])))
+                    ids.extend(chain.from_iterable(map(get_chunk, part[1])))
                 else:
                     ids.extend(chain.from_iterable(map(get, part)))
             found.append(ids)
-        for word in new:
-            if len(word) > REMEMBERED_LENGTH:
-                del words[word]
-        if len(words) > REMEMBERED_WORDS:
-            self.words, self.older = {}, words
+        self._forget(words, new)
         return found
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+_encoders: dict[bytes, TrieEncoder] = {}
+
+
+def _encoder(vocabulary: bytes) -> TrieEncoder:
+    """This process's encoder of a vocabulary: worker processes outlive their tasks."""
+    key = hashlib.sha256(vocabulary).digest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = TrieEncoder(vocabulary)
+    return _encoders[key]
+
+
 def _mapped(docs: DataFrame, vocabulary_path: str, make, schema: str) -> DataFrame:
     """The vocabulary (some MB, a fixed file) is read on the driver and broadcast."""
     with open(vocabulary_path, "rb") as file:
         shipped = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def work():
-        encoder = TrieEncoder(shipped.value)
+        encoder = _encoder(shipped.value)
         return lambda part: make(encoder, part)
 
-    return map_slices(docs, "text", work, schema, 1 << 19)
+    return map_slices(docs, "text", work, schema, SLICE_BYTES)
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -242,7 +367,7 @@ def decode_documents(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
         shipped = encoded.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches):
-        encoder = TrieEncoder(shipped.value)
+        encoder = _encoder(shipped.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -259,7 +384,7 @@ def round_trip_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         counts, codes, texts = [], [], []
         for ids in encoder.encode(part.column("text").to_pylist()):
             counts.append(len(ids))
-            codes.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            codes.append(hashlib.sha256(",".join(map(encoder.digits.__getitem__, ids)).encode()).hexdigest())
             texts.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(codes, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
