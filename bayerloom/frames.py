@@ -1,10 +1,15 @@
 """Whole frames: one row each, its description in columns and its pixels packed in `data`.
 
 elem: u8, p12 (12-bit packed), u16, f32, u32 (little endian), or ebc (compressed).
+
+Frames may have one more column, `error`. With it, a frame that a step can't
+work on keeps its number, loses its data and says why; later steps and writers
+pass it over, and the other frames go on. Without it an error ends the query.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -51,10 +56,10 @@ class Interpretation:
         return {"kind": self.kind, "elem": self.elem, "width": self.width, "height": self.height, "red_in_first_col": self.red_in_first_col, "red_in_first_row": self.red_in_first_row, "fps": float(self.fps)}
 
 
-def described(frames: DataFrame, interpretation: Interpretation) -> DataFrame:
-    """(frame_no, data) with the description added."""
+def described(frames: DataFrame, interpretation: Interpretation, *others: str) -> DataFrame:
+    """(frame_no, data) with the description added, and other columns kept."""
     types = {"width": "int", "height": "int"}
-    return frames.withColumns({k: F.lit(v).cast(types[k]) if k in types else F.lit(v) for k, v in interpretation.columns().items()}).select(*COLUMNS)
+    return frames.withColumns({k: F.lit(v).cast(types[k]) if k in types else F.lit(v) for k, v in interpretation.columns().items()}).select(*COLUMNS, *others)
 
 
 def raw_frames(frames: DataFrame, width: int, height: int, elem: str, fps: float = 24.0) -> DataFrame:
@@ -70,14 +75,54 @@ def array_of(row: dict) -> np.ndarray:
     return flat[: int(np.prod(shape))].reshape(shape)
 
 
+def _samples(array: np.ndarray, elem: str) -> np.ndarray:
+    return pack12(array.ravel()) if elem == "p12" else np.ascontiguousarray(array, _DTYPES[elem])
+
+
 def packed(array: np.ndarray, elem: str) -> bytes:
-    return pack12(array.ravel()).tobytes() if elem == "p12" else np.ascontiguousarray(array, _DTYPES[elem]).tobytes()
+    return _samples(array, elem).tobytes()
 
 
 def made(row: dict, array: np.ndarray, **changes) -> dict:
     """The frame `row` with other samples and what else changes."""
     new = row | changes
-    return new | {"height": array.shape[0], "width": array.shape[1], "data": packed(array, new["elem"])}
+    return new | {"height": array.shape[0], "width": array.shape[1], "data": pa.py_buffer(_samples(array, new["elem"]))}
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The frames of a batch; their data are views into it."""
+    for k in range(batch.num_rows):
+        yield {name: column[k].as_buffer() if name == "data" and column[k].is_valid else column[k].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def batch_of(row: dict, schema: pa.Schema) -> pa.RecordBatch:
+    """One frame as a batch that shares its data."""
+    columns = []
+    for field in schema:
+        value = row[field.name]
+        if field.name == "data" and value is not None and field.type == pa.binary():
+            value = pa.py_buffer(value)
+            columns.append(pa.Array.from_buffers(field.type, 1, [None, pa.py_buffer(np.array([0, value.size], np.int32)), value]))
+        else:
+            columns.append(pa.array([value], field.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def tolerant(frames: DataFrame) -> DataFrame:
+    """Frames whose steps report errors instead of ending the query."""
+    return frames if "error" in frames.columns else frames.withColumn("error", F.lit(None).cast("string"))
+
+
+def whole(frames: DataFrame) -> DataFrame:
+    """The frames without an error; their numbers have gaps where the others were."""
+    return frames.where(F.col("error").isNull()).drop("error") if "error" in frames.columns else frames
+
+
+def failures(frames: DataFrame) -> DataFrame:
+    """(frame_no, error) of the frames that some step couldn't work on."""
+    if "error" in frames.columns:
+        return frames.where(F.col("error").isNotNull()).select("frame_no", "error")
+    return frames.sparkSession.createDataFrame([], "frame_no long, error string")
 
 
 def map_frames(frames: DataFrame, work: Callable[[dict], list[dict]]) -> DataFrame:
@@ -85,29 +130,38 @@ def map_frames(frames: DataFrame, work: Callable[[dict], list[dict]]) -> DataFra
     names = frames.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for batch in batches:
-            schema = batch.schema
-            for k in range(batch.num_rows):
-                rows = work(batch.slice(k, 1).to_pylist()[0])
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for row in rows_of(batch):
+                try:
+                    rows = [row] if row.get("error") is not None else work(row)
+                except Exception as e:
+                    if "error" not in row:
+                        raise
+                    rows = [row | {"data": None, "error": f"{type(e).__name__}: {e}"}]
+                    print(f"error in frame {row['frame_no']}: {e}", file=sys.stderr)
+                for made_row in rows:
+                    yield batch_of(made_row, batch.schema)
 
     return frames.select(*names).mapInArrow(run, frames.schema)
 
 
-def pixels(frames: DataFrame) -> DataFrame:
-    """Frames to (frame_no, y, x, v), or (frame_no, y, x, r, g, b) for rgb: the kind is looked up on one frame."""
-    first = frames.select("kind", "elem").limit(1).collect()
-    rgb = bool(first) and first[0]["kind"] == "rgb"
-    real = bool(first) and first[0]["elem"] == "f32"
+def pixels(frames: DataFrame, kind: str | None = None, elem: str | None = None) -> DataFrame:
+    """Whole frames to (frame_no, y, x, v), or (frame_no, y, x, r, g, b) for rgb.
+
+    Kind and sample type are those of all frames; where they aren't given they
+    are looked up on one frame, which runs the query that far.
+    """
+    frames = whole(frames)
+    if kind is None:
+        first = frames.select("kind", "elem").limit(1).collect()
+        kind, elem = (first[0]["kind"], first[0]["elem"]) if first else ("raw", "u8")
+    rgb, real = kind == "rgb", elem == "f32"
     values = [("r", "int"), ("g", "int"), ("b", "int")] if rgb else [("v", "double" if real else "int")]
     schema = "frame_no long, y int, x int, " + ", ".join(f"{n} {t}" for n, t in values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+            for row in rows_of(batch):
                 array = array_of(row)
                 h, w = array.shape[:2]
                 columns = [pa.array(np.full(h * w, row["frame_no"], np.int64)), pa.array(np.repeat(np.arange(h, dtype=np.int32), w)), pa.array(np.tile(np.arange(w, dtype=np.int32), h))]

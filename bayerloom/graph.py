@@ -10,17 +10,28 @@ from __future__ import annotations
 
 import re
 import shlex
+import sys
+import threading
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
 import yaml
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .params import resolve
 from .registry import NODES, Port, PortError
 
 
+def _release(made: dict[str, Any]) -> None:
+    """Let go of what nodes have cached."""
+    for out in made.values():
+        for frames in out if isinstance(out, list) else [out]:
+            if isinstance(frames, DataFrame) and not frames.isStreaming and frames.is_cached:
+                frames.unpersist()
+
+
 @dataclass
 class Node:
     name: str
@@ -150,8 +161,41 @@ def build(spark: SparkSession, nodes: list[Node]) -> dict[str, Any]:
     return made
 
 
-def run(spark: SparkSession, nodes: list[Node]) -> dict[str, Any]:
+class Progress:
+    """Shows how many tasks of the running stages are done, twice a second, on standard error."""
+
+    def __init__(self, spark: SparkSession, out=None):
+        self.tracker, self.out, self.shown = spark.sparkContext.statusTracker(), out or sys.stderr, 0
+        self.began, self.stop = time.monotonic(), threading.Event()
+        self.thread = threading.Thread(target=self._run, daemon=True)
+
+    def _run(self) -> None:
+        while not self.stop.wait(0.5):
+            self.show()
+
+    def show(self) -> None:
+        stages = [s for s in map(self.tracker.getStageInfo, self.tracker.getActiveStageIds()) if s]
+        for s in stages:
+            done = 20 * s.numCompletedTasks // max(s.numTasks, 1)
+            self.out.write(f"\r{'#' * done}{'-' * (20 - done)} | {s.numCompletedTasks}/{s.numTasks} tasks of stage {s.stageId} | elapsed: {time.monotonic() - self.began:.0f} s ")
+        self.out.flush()
+        self.shown += len(stages)
+
+    def __enter__(self) -> Progress:
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.stop.set()
+        self.thread.join()
+        self.out.write("\n")
+
+
+def run(spark: SparkSession, nodes: list[Node], show_progress: bool = False) -> dict[str, Any]:
     """Run all sinks, by priority, then in order; gives what each reports. A sink's error is raised after the others are done."""
+    if show_progress:
+        with Progress(spark):
+            return run(spark, nodes)
     checked = check(nodes)
     sinks = [(node, p) for node, p in checked if NODES[node.type].sink]
     if not sinks:
@@ -163,6 +207,8 @@ def run(spark: SparkSession, nodes: list[Node]) -> dict[str, Any]:
             reports[node.name] = NODES[node.type].run(spark, p, made[node.inputs["input"]])
         except Exception as e:  # the first error counts
             failed = failed or e
+    if not any(NODES[node.type].lazy for node, _ in sinks):
+        _release(made)
     if failed:
         raise failed
     return reports

@@ -6,6 +6,8 @@ form in ``bayerloom.operators`` defines the results.
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import BITS, DEPTHS, array_of, made, map_frames, packed
+from .frames import BITS, DEPTHS, array_of, made, map_frames, packed, rows_of, whole
 from .operators.dual import pair_halves
 from .operators.lut import Cube
 from .operators.rownoise import BLACK, DARK_COLUMNS, RowNoiseModel, pair_lag
@@ -74,8 +76,13 @@ def debayer_half(frames: DataFrame) -> DataFrame:
     return map_frames(frames, work)
 
 
+PLANE_BYTES = 1 << 30
+
+
 def darkframe_subtract(frames: DataFrame, dark: np.ndarray) -> DataFrame:
-    """dark: one float plane, broadcast (its size is a frame's)."""
+    """dark: one float plane, broadcast; its size is a frame's, at most PLANE_BYTES."""
+    if dark.nbytes > PLANE_BYTES:
+        raise ValueError(f"a plane of {dark.nbytes} bytes is too large to be sent to every executor")
     shipped = frames.sparkSession.sparkContext.broadcast(dark)
 
     def work(row: dict) -> list[dict]:
@@ -118,6 +125,26 @@ def histogram(frames: DataFrame) -> DataFrame:
     return map_frames(frames, work)
 
 
+BROADCAST_WINDOWS = 1_000_000  # frame numbers of 16 bytes
+
+
+def _in_windows(frames: DataFrame, n: int) -> DataFrame:
+    """frames with their window of n successive frames; those of an unfinished last one are left out.
+
+    Where numbers have no gaps the window follows from the number. Otherwise
+    the numbers alone are put in order, and what comes of it is broadcast while
+    it is small; only beyond BROADCAST_WINDOWS frames is it joined by a shuffle.
+    """
+    from .operators.averaging import count_windows
+
+    seen = frames.agg(F.count("*").alias("n"), F.count_distinct("frame_no").alias("numbers"), F.min("frame_no").alias("low"), F.max("frame_no").alias("high")).first()
+    if seen["n"] and seen["n"] == seen["numbers"] == seen["high"] - seen["low"] + 1:
+        full = seen["low"] + seen["n"] // n * n
+        return frames.where(F.col("frame_no") < full).withColumn("window", F.expr(f"(frame_no - {seen['low']}) div {n}").cast("long"))
+    windows = count_windows(frames, n)
+    return frames.join(F.broadcast(windows) if seen["n"] <= BROADCAST_WINDOWS else windows, "frame_no")
+
+
 def average(frames: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Mean and variance frames of windows of n successive frames.
 
@@ -125,16 +152,13 @@ def average(frames: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     pixel), and the partial sums of a window meet in one group of at most as
     many rows as there are tasks: frames themselves are never gathered.
     """
-    from .operators.averaging import count_windows
-
-    placed = frames.join(count_windows(frames, n), "frame_no")
+    placed = _in_windows(whole(frames), n)
     schema = "window long, n long, width int, height int, red_in_first_col boolean, red_in_first_row boolean, fps double, sums binary, squares binary"
 
     def partial(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+            for row in rows_of(batch):
                 v = array_of(row).astype(np.float64)
                 if row["window"] in held:
                     own = held[row["window"]]
@@ -152,7 +176,7 @@ def average(frames: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     arrow = pa.schema([("window", pa.int64()), ("n", pa.int64()), *shape, ("sums", pa.binary()), ("squares", pa.binary())])
     planes = pa.schema([("frame_no", pa.int64()), ("kind", pa.string()), ("elem", pa.string()), *shape, ("data", pa.binary()), ("var", pa.binary())])
 
-    def whole(key, table):
+    def united(key, table):
         rows = table.to_pylist()
         count = sum(r["n"] for r in rows)
         total, squares = (sum(np.frombuffer(r[c], np.float64) for r in rows) for c in ("sums", "squares"))
@@ -162,7 +186,7 @@ def average(frames: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
         return pa.Table.from_pylist([base | {"data": packed(mean, "f32"), "var": packed(np.maximum(squares / count - mean * mean, 0), "f32")}], schema=planes)
 
     sums = placed.mapInArrow(partial, schema)
-    out = sums.groupBy("window").applyInArrow(whole, "frame_no long, kind string, elem string, width int, height int, red_in_first_col boolean, red_in_first_row boolean, fps double, data binary, var binary")
+    out = sums.groupBy("window").applyInArrow(united, "frame_no long, kind string, elem string, width int, height int, red_in_first_col boolean, red_in_first_row boolean, fps double, data binary, var binary")
     return out.drop("var"), out.drop("data").withColumnRenamed("var", "data")
 
 
@@ -233,46 +257,109 @@ def join_rows(halves: DataFrame, red_in_first_col: bool = True, red_in_first_row
     return map_frames(named, work).drop("other")
 
 
-#: Error controls and how each becomes an absolute bound, given the samples.
+#: Error controls, and the names of sample types.
 CONTROLS = ("abs", "rel", "psnr", "l2norm")
+DATA_TYPES = {"float": "<f4", "f32": "<f4", "double": "<f8", "f64": "<f8", "int": "<i4", "i32": "<i4", "long": "<i8", "i64": "<i8"}
 
 
 def _bound(control: str, tolerance: float, v: np.ndarray) -> float:
-    span = float(v.max() - v.min()) if v.size else 0.0
+    """The largest error of a sample that keeps the control's promise, whatever the errors' distribution."""
+    known = v[np.isfinite(v)] if v.dtype.kind == "f" else v
+    span = float(known.max()) - float(known.min()) if known.size else 0.0
     if control == "abs":
         return tolerance
     if control == "rel":
         return tolerance * span
-    if control == "psnr":  # uniform error below a step has a mean square of bound^2 / 3
-        return float(np.sqrt(3.0) * span * 10 ** (-tolerance / 20))
-    return float(tolerance / np.sqrt(max(v.size, 1)))
-
-
-def compress(frames: DataFrame, tolerance: float, error_control: str = "abs") -> DataFrame:
-    """Error-bounded: samples are rounded to steps of twice the bound, differenced along rows and deflated."""
+    if control == "psnr":
+        return span * 10 ** (-tolerance / 20)
+    return tolerance / max(v.size, 1) ** 0.5
+
+
+def _steps(v: np.ndarray, bound: float) -> tuple[float, np.ndarray]:
+    """Quantisation: the step, and each sample's multiple of it. Whole numbers have whole steps of 2 floor(bound) + 1."""
+    if v.dtype.kind == "f":
+        with np.errstate(all="ignore"):
+            coded = np.round(v.astype(np.float64) / (2 * bound)) if bound > 0 else np.zeros(v.shape)
+            coded = np.where(np.abs(coded) < 2.0**53, coded, 0)
+        return 2 * bound, coded.astype(np.int64)
+    half = int(min(bound, 1 << 40))
+    return 2 * half + 1, (v.astype(np.int64) + half) // (2 * half + 1)
+
+
+def _restored(coded: np.ndarray, step: float, dtype: np.dtype) -> np.ndarray:
+    if dtype.kind == "f":
+        with np.errstate(all="ignore"):
+            return (coded * step).astype(dtype)
+    low, high = np.iinfo(dtype).min, np.iinfo(dtype).max
+    return np.clip(coded * int(step), low, high).astype(dtype)
+
+
+def _shape(size: int, dims: list[int] | None, own: tuple[int, ...]) -> tuple[int, ...]:
+    """Sizes of the data's dimensions, the fastest first as given; a last -1 takes what remains."""
+    if not dims:
+        return own
+    if any(d < 1 and d != -1 for d in dims) or -1 in dims[:-1]:
+        raise ValueError("dims must be positive, and only the last may be -1")
+    rest = int(np.prod([d for d in dims if d > 0]))
+    if size % rest or (dims[-1] != -1 and rest != size):
+        raise ValueError(f"{size} samples don't fill dimensions {dims}")
+    return tuple(d if d > 0 else size // rest for d in reversed(dims))
+
+
+def compress(frames: DataFrame, tolerance: float, error_control: str = "abs", data_type: str = "", dims: list[int] | None = None) -> DataFrame:
+    """Error-bounded: samples are rounded to steps of twice the bound, differenced along the fastest dimension and deflated.
+
+    data_type: what the frame's bytes are taken as; its own samples if empty.
+    Samples that the steps would miss by more than the bound (beside overflows
+    and what isn't finite, those that rounding of floats puts over the edge) are
+    stored as they are, so the bound holds for every sample.
+    """
     if error_control not in CONTROLS:
         raise ValueError(f"error_control must be one of {', '.join(CONTROLS)}")
+    if data_type and data_type not in DATA_TYPES:
+        raise ValueError(f"data_type must be one of {', '.join(DATA_TYPES)}")
 
     def work(row: dict) -> list[dict]:
-        v = array_of(row).astype(np.float64)
-        step = 2 * _bound(error_control, tolerance, v)
-        coded = np.round(v / step).astype(np.int64) if step > 0 else v.view(np.int64)
-        flat = coded.ravel()
-        steps = np.diff(flat, prepend=0) if step > 0 else flat
-        head = np.array([step], "<f8").tobytes() + row["elem"].encode().ljust(4)
-        return [row | {"elem": "ebc", "data": head + zlib.compress(steps.astype("<i8").tobytes(), 3)}]
+        if data_type:
+            if len(row["data"]) % np.dtype(DATA_TYPES[data_type]).itemsize:
+                raise ValueError(f"{len(row['data'])} bytes are no whole number of {data_type} samples")
+            v = np.frombuffer(row["data"], DATA_TYPES[data_type])
+        else:
+            v = array_of(row)
+        v = v.reshape(_shape(v.size, dims, v.shape))
+        bound = _bound(error_control, tolerance, v)
+        step, coded = _steps(v, bound)
+        back = _restored(coded, step, v.dtype)
+        with np.errstate(invalid="ignore"):
+            if v.dtype.kind == "f":
+                right = np.abs(back.astype(np.float64) - v) <= bound
+            else:
+                far = np.where(back > v, back.astype(np.int64) - v.astype(np.int64), v.astype(np.int64) - back.astype(np.int64)).view(np.uint64)
+                right = far <= np.uint64(min(bound, 2.0**63))
+        missed = np.flatnonzero(~right)
+        head = json.dumps({"step": step, "dtype": v.dtype.str, "shape": v.shape, "elem": row["elem"], "missed": len(missed)}).encode()
+        kept = missed.astype("<i8").tobytes() + v.ravel()[missed].tobytes()
+        flat = np.diff(coded, axis=-1, prepend=0).astype("<i8").tobytes()
+        return [row | {"elem": "ebc", "data": struct.pack("<I", len(head)) + head + zlib.compress(kept + flat, 3)}]
 
     return map_frames(frames, work)
 
 
 def decompress(frames: DataFrame) -> DataFrame:
     def work(row: dict) -> list[dict]:
-        step, elem = float(np.frombuffer(row["data"][:8], "<f8")[0]), row["data"][8:12].decode().strip()
-        flat = np.frombuffer(zlib.decompress(row["data"][12:]), "<i8")
-        v = np.cumsum(flat) * step if step > 0 else flat.view(np.float64)
-        if elem != "f32":
-            v = np.clip(np.round(v), 0, (1 << BITS[elem]) - 1).astype(np.int64)
-        return [row | {"elem": elem, "data": packed(v, elem)}]
+        raw = bytes(row["data"])
+        (size,) = struct.unpack_from("<I", raw)
+        head = json.loads(raw[4 : 4 + size])
+        dtype, body, n = np.dtype(head["dtype"]), zlib.decompress(raw[4 + size :]), head["missed"]
+        missed, own = np.frombuffer(body, "<i8", n), np.frombuffer(body, dtype, n, 8 * n)
+        coded = np.cumsum(np.frombuffer(body, "<i8", offset=n * (8 + dtype.itemsize)).reshape(head["shape"]), axis=-1)
+        v = _restored(coded, head["step"], dtype)
+        if head["elem"] == "p12":
+            v = np.minimum(v, 4095)
+        v = v.ravel()
+        v[missed] = own
+        data = packed(v, head["elem"]) if head["elem"] == "p12" else v.tobytes()
+        return [row | {"elem": head["elem"], "data": data}]
 
     return map_frames(frames, work)
 

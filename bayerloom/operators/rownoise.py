@@ -38,7 +38,7 @@ class RowNoiseModel:
         return max(self.lags, 2 * (len(self.even.dark) // 2))
 
 
-#: The hand-made model, and the one of green differences only.
+#: The hand-made model, and the one of green differences only. The two of dark columns are in models.yml.
 MODELS = {
     "internal:mean": RowNoiseModel(HalfModel(dark=[[[0.0375] * 16, [0.0] * 16]]), HalfModel(dark=[[[0.0] * 16, [0.0375] * 16]])),
     "internal:only_green": RowNoiseModel(
@@ -55,13 +55,19 @@ class _Plain(yaml.SafeLoader):
 _Plain.add_multi_constructor("tag:yaml.org,2002:python/object", lambda loader, suffix, node: loader.construct_mapping(node, deep=True))
 
 
+_LARGER = ("internal:good", "internal:only_dark")
+
+
 def load_model(model: str) -> RowNoiseModel:
     """A bundled model by name, or a YAML file with weights_even and weights_odd."""
     if model in MODELS:
         return MODELS[model]
-    if model.startswith("internal:"):
-        raise ValueError(f"{model} isn't bundled; there are {', '.join(MODELS)}, or give the path of a model file")
-    spec = yaml.load(Path(model).read_text(), Loader=_Plain)
+    if model in _LARGER:
+        spec = yaml.safe_load(Path(__file__).with_name("models.yml").read_text())[model.removeprefix("internal:")]
+    elif model.startswith("internal:"):
+        raise ValueError(f"{model} isn't bundled; there are {', '.join((*MODELS, *_LARGER))}, or give the path of a model file")
+    else:
+        spec = yaml.load(Path(model).read_text(), Loader=_Plain)
     halves = [HalfModel(h.get("green_diff_weights") or [], h.get("dark_col_row_weights") or [], float(h.get("offset") or 0)) for h in (spec["weights_even"], spec["weights_odd"])]
     return RowNoiseModel(*halves)
 

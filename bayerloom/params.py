@@ -16,14 +16,22 @@ class Parameter:
     default: Any = MANDATORY
     low: float | None = None
     high: float | None = None
+    choices: tuple = ()
 
     def read(self, name: str, value: Any) -> Any:
         """The value as its kind, from YAML or from command-line text; both are checked alike."""
         made = self._typed(name, value)
         if self.kind in ("int", "float") and (self.low is not None and made < self.low or self.high is not None and made > self.high):
             raise ValueError(f"{name} must lie between {self.low} and {self.high}, not {made}")
+        if self.choices and made not in self.choices:
+            raise ValueError(f"{name} must be one of {', '.join(map(str, self.choices))}, not {made}")
         return made
 
+    def described(self) -> str:
+        """Its kind, what it may be, and its default."""
+        limits = f" of {', '.join(map(str, self.choices))}" if self.choices else f" from {self.low}" * (self.low is not None) + f" to {self.high}" * (self.high is not None)
+        return f"{self.kind}{limits}, {'must be given' if self.default is MANDATORY else f'default {self.default!r}'}"
+
     def _typed(self, name: str, value: Any) -> Any:
         wrong = ValueError(f"{name} must be of kind {self.kind}, not {value!r}")
         if self.kind == "list":

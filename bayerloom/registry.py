@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels, operators, sinks, sources
-from .frames import Interpretation
+from .frames import Interpretation, tolerant, whole
 from .params import Parameter
 
 
@@ -34,16 +34,17 @@ class NodeType:
     source: bool = False
     sink: bool = False
     inputs: tuple[str, ...] = field(default=("input",))
+    lazy: bool = False  # a sink whose report still reads its input
 
 
 NODES: dict[str, NodeType] = {}
 
 
-def register_node(name: str, parameters: dict[str, Parameter] | None = None, gives=lambda p, given: given, source: bool = False, sink: bool = False):
+def register_node(name: str, parameters: dict[str, Parameter] | None = None, gives=lambda p, given: given, source: bool = False, sink: bool = False, lazy: bool = False):
     """Decorator: make a function (spark, parameters, input) a node type."""
 
     def add(f):
-        NODES[name] = NodeType(name, parameters or {}, gives, f, source, sink, () if source else ("input",))
+        NODES[name] = NodeType(name, parameters or {}, gives, f, source, sink, () if source else ("input",), lazy)
         return f
 
     return add
@@ -65,7 +66,7 @@ def takes(*ports: Port, then: Port | Callable[[dict, Port], Port] | None = None)
 
 
 INTERPRETATION = {
-    "width": Parameter("int", low=1), "height": Parameter("int", low=1), "bit-depth": Parameter("int", 12, 8, 32), "red-in-first-col": Parameter("bool", True),
+    "width": Parameter("int", low=1), "height": Parameter("int", low=1), "bit-depth": Parameter("int", 12, 8, 32, (8, 12, 16, 32)), "red-in-first-col": Parameter("bool", True),
     "red-in-first-row": Parameter("bool", True), "rgb": Parameter("bool", False), "fps": Parameter("float", 24.0, 0.0),
 }
 PRIORITY = {"priority": Parameter("int", 0, 0, 255)}
@@ -82,7 +83,12 @@ def _own_port(p: dict, given: Port | None) -> Port:
 
 
 def _kept(frames: DataFrame, p: dict) -> DataFrame:
-    return frames.persist() if p.get("cache-frames") else frames
+    """In pipelines a frame that can't be worked on is a gap, not the end."""
+    return tolerant(frames).persist() if p.get("cache-frames") else tolerant(frames)
+
+
+def _profile(p: dict) -> dict:
+    return sinks.read_profile(p["dcp-yaml"]) if p["dcp-yaml"] else sinks.dng.PROFILE
 
 
 @register_node("RawBlobReader", {"file": Parameter("str"), "cache-frames": Parameter("bool", False), **INTERPRETATION}, _own_port, source=True)
@@ -92,30 +98,29 @@ def _(spark, p, _input):
 
 @register_node("RawDirectoryReader", {"file-pattern": Parameter("str"), "cache-frames": Parameter("bool", False), "internal-loop": Parameter("int", 1, 1), **INTERPRETATION}, _own_port, source=True)
 def _(spark, p, _input):
-    return _kept(sources.read_directory(spark, p["file-pattern"], interpretation(p), p["internal-loop"]), p)
+    return _kept(sources.read_directory(spark, p["file-pattern"], interpretation(p), p["internal-loop"], keep_going=True), p)
 
 
 @register_node("CinemaDngReader", {"file-pattern": Parameter("str"), "cache-frames": Parameter("bool", False), "internal-loop": Parameter("int", 1, 1)}, lambda p, given: Port("raw"), source=True)
 def _(spark, p, _input):
-    frames = sources.read_dng(spark, p["file-pattern"])
-    return _kept(operators.internal_loop(frames, p["internal-loop"], frames.count()) if p["internal-loop"] > 1 else frames, p)
+    return _kept(sources.read_dng(spark, p["file-pattern"], p["internal-loop"], keep_going=True), p)
 
 
 @register_node("ZstdBlobReader", {"file": Parameter("str"), **INTERPRETATION}, _own_port, source=True)
 def _(spark, p, _input):
-    return sources.read_zstd(spark, p["file"], interpretation(p))
+    return tolerant(sources.read_zstd(spark, p["file"], interpretation(p)))
 
 
 @register_node("TcpReader", {"address": Parameter("str"), **INTERPRETATION}, _own_port, source=True)
 def _(spark, p, _input):
-    return sources.read_tcp(spark, p["address"], interpretation(p))
+    return tolerant(sources.read_tcp(spark, p["address"], interpretation(p)))
 
 
 def _depth_port(p: dict, given: Port) -> Port:
     return Port("raw", kernels.depth_of(p["to"]))
 
 
-@register_node("BitDepthConverter", {"to": Parameter("int", 8, 8, 16)}, takes(Port("raw"), then=_depth_port))
+@register_node("BitDepthConverter", {"to": Parameter("int", 8, 8, 16, (8, 12, 16))}, takes(Port("raw"), then=_depth_port))
 def _(spark, p, frames):
     return kernels.bit_depth(frames, p["to"])
 
@@ -148,7 +153,7 @@ def _(spark, p, frames):
     return kernels.darkframe_subtract(frames, np.frombuffer(plane["data"], "<f4").reshape(p["height"], p["width"]).astype(np.float64))
 
 
-@register_node("RowNoiseRemoval", {"model": Parameter("str", "internal:mean"), "strip-dark-columns": Parameter("bool", False)}, takes(Port("raw", "u16")))
+@register_node("RowNoiseRemoval", {"model": Parameter("str", "internal:good"), "strip-dark-columns": Parameter("bool", False)}, takes(Port("raw", "u16")))
 def _(spark, p, frames):
     return kernels.row_noise(frames, operators.load_model(p["model"]), p["strip-dark-columns"])
 
@@ -176,7 +181,7 @@ def _(spark, p, frames):
     return kernels.color_voodoo(frames, p["pedestal"], p["s_gamma"], p["v_gamma"])
 
 
-@register_node("Lut3d", {"file": Parameter("str"), "mode": Parameter("str", "reference")}, takes(Port("rgb")))
+@register_node("Lut3d", {"file": Parameter("str"), "mode": Parameter("str", "reference", choices=("reference", "exact"))}, takes(Port("rgb")))
 def _(spark, p, frames):
     with open(p["file"]) as file:
         return kernels.apply_cube(frames, operators.parse_cube(file.read()), p["mode"])
@@ -192,9 +197,9 @@ def _(spark, p, frames):
     return kernels.split_rows(frames, p["flip"])
 
 
-@register_node("SZ3Compress", {"tolerance": Parameter("float", low=0), "error_control": Parameter("str", "abs")}, takes(Port("raw"), Port("rgb"), then=Port("ebc", "ebc")))
+@register_node("SZ3Compress", {"tolerance": Parameter("float", low=0), "error_control": Parameter("str", "abs", choices=kernels.CONTROLS), "data_type": Parameter("str", "", choices=("", *kernels.DATA_TYPES)), "dims": Parameter("list", ())}, takes(Port("raw"), Port("rgb"), then=Port("ebc", "ebc")))
 def _(spark, p, frames):
-    return kernels.compress(frames, p["tolerance"], p["error_control"])
+    return kernels.compress(frames, p["tolerance"], p["error_control"], p["data_type"], [int(d) for d in p["dims"]])
 
 
 @register_node("Decompress", {}, takes(Port("ebc"), then=Port("raw")))
@@ -220,9 +225,25 @@ def _(spark, p, frames):
     return sinks.write_directory(frames, p["path"], p["number-of-frames"])
 
 
-@register_node("CinemaDngWriter", {"path": Parameter("str"), **LIMIT, **PRIORITY}, takes(Port("raw")), sink=True)
+@register_node("CinemaDngWriter", {"path": Parameter("str"), "dcp-yaml": Parameter("str", ""), "exists-ok?": Parameter("bool", False), **LIMIT, **PRIORITY}, takes(Port("raw")), sink=True)
+def _(spark, p, frames):
+    return sinks.write_dng(frames, p["path"], p["number-of-frames"], _profile(p), p["exists-ok?"])
+
+
+@register_node("CinemaDngFrameserver", {"dcp-yaml": Parameter("str", ""), **PRIORITY}, takes(Port("raw")), sink=True, lazy=True)
+def _(spark, p, frames):
+    """The files that a server would show; they are made when they are read."""
+    return sinks.FrameServer(frames, _profile(p))
+
+
+@register_node("Display", {"frame": Parameter("int", 0, 0), "width": Parameter("int", 0, 0), "path": Parameter("str", ""), **PRIORITY}, takes(Port("raw"), Port("rgb")), sink=True)
 def _(spark, p, frames):
-    return sinks.write_dng(frames, p["path"], p["number-of-frames"])
+    """One frame as a PNG, in a file if a path is given."""
+    picture = sinks.preview(frames, p["frame"], p["width"])
+    if p["path"]:
+        with open(p["path"], "wb") as file:
+            file.write(picture)
+    return picture
 
 
 @register_node("FfmpegWriter", {"output": Parameter("str"), "input-options": Parameter("str", ""), **PRIORITY}, takes(Port("rgb")), sink=True)
@@ -230,16 +251,16 @@ def _(spark, p, frames):
     return sinks.write_encoder(frames, p["output"], p["input-options"])
 
 
-@register_node("BenchmarkSink", {"rounds": Parameter("int", 10, 1), **PRIORITY}, sink=True)
+@register_node("BenchmarkSink", {"rounds": Parameter("int", 10, 1), "unordered": Parameter("bool", False), **PRIORITY}, sink=True)
 def _(spark, p, frames):
     return sinks.benchmark(frames, p["rounds"])
 
 
-@register_node("Plot", PRIORITY, takes(Port("raw", "u32")), sink=True)
+@register_node("Plot", PRIORITY, takes(Port("raw", "u32")), sink=True, lazy=True)
 def _(spark, p, frames):
     """The data of the plot: the range of bins worth showing, of each frame."""
     from .frames import pixels
     from .operators import plot_trim
 
-    counts = pixels(frames).selectExpr("frame_no", "x as bin", "cast(v as long) as n").where("n > 0")
+    counts = pixels(whole(frames), "raw", "u32").selectExpr("frame_no", "x as bin", "cast(v as long) as n").where("n > 0")
     return plot_trim(counts)

@@ -7,11 +7,14 @@ import time
 
 from pyspark.sql import DataFrame
 
+from ..frames import whole
+
 
 def benchmark(frames: DataFrame, rounds: int = 10, count: int | None = None) -> dict:
-    """One warm-up and `rounds` timed full pulls: mean, sample deviation, and frames a second."""
+    """One warm-up and `rounds` timed full pulls: mean, sample deviation, and frames a second. Of a stream, its rate."""
+    frames = whole(frames)
     if frames.isStreaming:
-        raise ValueError("a stream reports its rate in its progress")
+        return stream_rate(frames)
     seconds = []
     for k in range(rounds + 1):
         began = time.perf_counter()
@@ -23,6 +26,20 @@ def benchmark(frames: DataFrame, rounds: int = 10, count: int | None = None) ->
     return {"frames": count, "mean": mean, "std": statistics.stdev(seconds) if rounds > 1 else 0.0, "fps": count / mean}
 
 
+def stream_rate(frames: DataFrame, seconds: float = 5.0) -> dict:
+    """Run a stream into nothing for some seconds, or to its end; frames a second, in all and of each batch."""
+    began = time.perf_counter()
+    query = frames.writeStream.format("noop").start()
+    try:
+        query.awaitTermination(seconds)
+        spent = time.perf_counter() - began
+        batches = [p for p in query.recentProgress if p["numInputRows"]]
+    finally:
+        query.stop()
+    count = sum(p["numInputRows"] for p in batches)
+    return {"frames": count, "seconds": spent, "fps": count / spent, "batch_fps": [p["processedRowsPerSecond"] for p in batches]}
+
+
 def plot_range(counts: DataFrame) -> DataFrame:
     from ..operators.histogram import plot_trim
 

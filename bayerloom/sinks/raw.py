@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import shlex
 import subprocess
@@ -10,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import CHANNELS, rows_of, whole
+from ..frames import BITS as SAMPLE_BITS
+
 
 def empty_folder(path: str) -> None:
     """Make the folder; one that holds anything is an error, nothing is ever deleted."""
@@ -18,26 +22,29 @@ def empty_folder(path: str) -> None:
         raise FileExistsError(f"{path} isn't empty")
 
 
-def write_each(frames: DataFrame, path: str, suffix: str, content: Callable[[dict], bytes]) -> int:
+def write_each(frames: DataFrame, path: str, suffix: str, content: Callable[[dict], bytes], replace: bool = False) -> int:
     """NNNNNN.suffix for each frame, written where the frame is; gives the number of frames.
 
     A file appears under its name only when it is whole, so a task that is run again does no harm.
+    replace: earlier frames of that suffix in the folder are removed first.
     """
+    if replace and os.path.isdir(path):
+        for old in glob.glob(f"{glob.escape(path)}/[0-9][0-9][0-9][0-9][0-9][0-9]*.{suffix}"):
+            os.remove(old)
     empty_folder(path)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+            for row in rows_of(batch):
                 name = os.path.join(path, f"{row['frame_no']:06d}.{suffix}")
                 with open(f"{name}.{os.getpid()}.part", "wb") as file:
                     file.write(content(row))
                 os.replace(file.name, name)
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
 
-    return frames.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return whole(frames).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_directory(frames: DataFrame, path: str, number_of_frames: int = 0) -> int:
@@ -47,11 +54,24 @@ def write_directory(frames: DataFrame, path: str, number_of_frames: int = 0) ->
 
 
 def write_blob(frames: DataFrame, path: str, number_of_frames: int = 0, compression: str | None = None) -> int:
-    """All frames in order in one file, streamed through the driver a partition at a time."""
+    """All frames in order in one file.
+
+    Frames of one size whose numbers have no gaps are written by the tasks that
+    hold them, each at its place in the file, which gets its name when all are
+    there. Others, and compressed files, are streamed through the driver, a
+    partition at a time.
+    """
     from ..operators.selecting import number_of_frames as limited
 
-    n = 0
+    frames = whole(limited(frames, number_of_frames))
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    if compression is None:
+        shape = ("kind", "elem", "width", "height")
+        seen = frames.agg(F.count("*").alias("n"), F.count_distinct("frame_no").alias("numbers"), F.min("frame_no").alias("low"), F.max("frame_no").alias("high"), *(f(c).alias(f"{name}_{c}") for c in shape for name, f in (("least", F.min), ("most", F.max)))).first()
+        if seen["n"] and seen["n"] == seen["numbers"] == seen["high"] - seen["low"] + 1 and seen["least_elem"] in SAMPLE_BITS and all(seen[f"least_{c}"] == seen[f"most_{c}"] for c in shape):
+            size = -(-seen["least_width"] * seen["least_height"] * CHANNELS[seen["least_kind"]] * SAMPLE_BITS[seen["least_elem"]] // 8)
+            return _write_places(frames, path, seen["low"], seen["n"], size)
+    n = 0
     with open(path, "wb") as file:
         if compression == "zstd":
             import zstandard
@@ -59,7 +79,7 @@ def write_blob(frames: DataFrame, path: str, number_of_frames: int = 0, compress
             out = zstandard.ZstdCompressor().stream_writer(file)
         else:
             out = file
-        for row in limited(frames, number_of_frames).orderBy("frame_no").select("data").toLocalIterator():
+        for row in frames.orderBy("frame_no").select("data").toLocalIterator():
             out.write(row["data"])
             n += 1
         if out is not file:
@@ -67,8 +87,32 @@ def write_blob(frames: DataFrame, path: str, number_of_frames: int = 0, compress
     return n
 
 
+def _write_places(frames: DataFrame, path: str, first: int, count: int, size: int) -> int:
+    """Frame k of `count` at byte (k - first) * size, written where it is; a task that is run again writes the same."""
+    part = f"{path}.part"
+    with open(part, "wb") as file:
+        file.truncate(count * size)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            with open(part, "r+b") as file:
+                for row in rows_of(batch):
+                    if len(row["data"]) != size:
+                        raise ValueError(f"frame {row['frame_no']} has {len(row['data'])} bytes, not {size}")
+                    file.seek((row["frame_no"] - first) * size)
+                    file.write(row["data"])
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    written = frames.select("frame_no", "data").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    os.replace(part, path)
+    return written
+
+
 def write_encoder(frames: DataFrame, output: str, input_options: str = "", program: str = "ffmpeg") -> int:
     """RGB frames in order to an encoder's standard input; waits for it and reports its failure."""
+    frames = whole(frames)
     first = frames.select("width", "height", "fps", "kind").limit(1).collect()
     if not first or first[0]["kind"] != "rgb":
         raise ValueError("the encoder takes RGB frames")

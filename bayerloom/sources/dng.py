@@ -5,10 +5,10 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..frames import DEPTHS, SCHEMA
+from .raw import numbered_files
 
 _FORMATS = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d"}
 #: Tag numbers of the format.
@@ -51,9 +51,13 @@ def parse_dng(data: bytes) -> dict:
     }
 
 
-def read_dng(spark: SparkSession, pattern: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(pattern)
-    names = files.select("path").withColumn("frame_no", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
+def read_dng(spark: SparkSession, pattern: str, loop: int = 1, keep_going: bool = False) -> DataFrame:
+    """One frame per file, numbered in the order of paths. What isn't a raw DNG ends the query, or, with keep_going, is a frame with an error."""
+    files, n = numbered_files(spark, pattern)
+    if loop > 1:
+        from ..operators.selecting import internal_loop
+
+        files = internal_loop(files, loop, n)
 
     def run(batches):
         import pyarrow as pa
@@ -61,8 +65,14 @@ def read_dng(spark: SparkSession, pattern: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                made = {"frame_no": row["frame_no"], **parse_dng(row["content"])}
-                schema = pa.schema([("frame_no", pa.int64()), ("kind", pa.string()), ("elem", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("red_in_first_col", pa.bool_()), ("red_in_first_row", pa.bool_()), ("fps", pa.float64()), ("data", pa.binary())])
+                made = {"frame_no": row["frame_no"], "fps": 24.0}
+                try:
+                    made |= parse_dng(row["content"])
+                except Exception as e:
+                    if not keep_going:
+                        raise
+                    made["error"] = f"{row['path']}: {type(e).__name__}: {e}"
+                schema = pa.schema([("frame_no", pa.int64()), ("kind", pa.string()), ("elem", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("red_in_first_col", pa.bool_()), ("red_in_first_row", pa.bool_()), ("fps", pa.float64()), ("data", pa.binary()), *([("error", pa.string())] if keep_going else [])])
                 yield pa.RecordBatch.from_pylist([made], schema=schema)
 
-    return files.join(names, "path").select("frame_no", "content").mapInArrow(run, SCHEMA)
+    return files.select("frame_no", "path", "content").mapInArrow(run, SCHEMA + (", error string" if keep_going else ""))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..frames import Interpretation, described
+from ..frames import Interpretation, described, tolerant
 
 
 class _Span(InputPartition):
@@ -52,23 +52,40 @@ def read_blob(spark: SparkSession, path: str, interpretation: Interpretation) ->
     return described(spark.read.format("raw_blob").option("path", path).option("frame_bytes", interpretation.frame_bytes).load(), interpretation)
 
 
-def read_directory(spark: SparkSession, pattern: str, interpretation: Interpretation, loop: int = 1) -> DataFrame:
-    """One frame per file, numbered in the order of paths; longer files are cut, shorter ones are an error.
+BROADCAST_FILES = 100_000  # names of some hundred bytes
 
-    Paths are numbered by a window over file names only; contents join by name.
-    loop: how often the sequence is gone through.
+
+def numbered_files(spark: SparkSession, pattern: str) -> tuple[DataFrame, int]:
+    """(path, content, frame_no) of the files, numbered from 0 in the order of paths, and how many there are.
+
+    Only names are put in order. The numbers are broadcast, so that contents
+    stay where they are read, up to BROADCAST_FILES files; beyond, files are
+    dealt by name.
     """
-    size = interpretation.frame_bytes
     files = spark.read.format("binaryFile").load(pattern)
     names = files.select("path").withColumn("frame_no", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
-    short = F.raise_error(F.concat(F.lit("the file is shorter than a frame: "), F.col("path")))
-    data = F.when(F.length("content") >= size, F.substring("content", 1, size)).otherwise(short.cast("binary"))
-    frames = files.join(names, "path").select("frame_no", data.alias("data"))
+    n = names.count()
+    return files.select("path", "content").join(F.broadcast(names) if n <= BROADCAST_FILES else names, "path"), n
+
+
+def read_directory(spark: SparkSession, pattern: str, interpretation: Interpretation, loop: int = 1, keep_going: bool = False) -> DataFrame:
+    """One frame per file, numbered in the order of paths; longer files are cut.
+
+    Shorter ones end the query, or, with keep_going, become frames with an error.
+    loop: how often the sequence is gone through.
+    """
+    size = interpretation.frame_bytes
+    files, n = numbered_files(spark, pattern)
+    enough, short = F.length("content") >= size, F.concat(F.lit("the file is shorter than a frame: "), F.col("path"))
+    data = F.when(enough, F.substring("content", 1, size))
+    frames = files.select("frame_no", (data if keep_going else data.otherwise(F.raise_error(short).cast("binary"))).alias("data"), F.when(~enough, short).alias("error"))
     if loop > 1:
         from ..operators.selecting import internal_loop
 
-        frames = internal_loop(frames, loop, names.count())
-    return described(frames, interpretation)
+        frames = internal_loop(frames, loop, n)
+    if not keep_going:
+        return described(frames, interpretation)
+    return tolerant(described(frames, interpretation, "error"))
 
 
 def read_zstd(spark: SparkSession, path: str, interpretation: Interpretation) -> DataFrame:
