@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import socket
+import struct
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import frames as fr
-from .. import graph, kernels, operators, sinks, sources
+from .. import graph, kernels, operators, registry, sinks, sources, streaming
 from ..functions import packing
 from ..staging import scratch_folder
 from .fixtures import HEIGHT, P8, PX, WIDTH, cube_text, half_frames, px
@@ -311,11 +315,35 @@ def zstd_read(spark, sf_dir):
     return fr.pixels(sources.read_zstd(spark, path, fr.Interpretation(WIDTH, HEIGHT, 12)))
 
 
-@query(f"with {PX} select frame_no, y, x, true as within from px")
+def _ebc_sql(half: str) -> str:
+    """Whole samples in steps of 2 half + 1, half being the whole part of what one sample may be off."""
+    return f"""with {PX}, f as (select frame_no, max(v) - min(v) as span, count(*) as n from px group by frame_no),
+h as (select frame_no, cast(floor({half}) as bigint) as half from f)
+select frame_no, y, x, cast(least((v + half) // (2 * half + 1) * (2 * half + 1), 65535) as integer) as v from px join h using (frame_no)"""
+
+
+def _ebc(spark, sf_dir, tolerance: float, control: str) -> DataFrame:
+    return fr.pixels(kernels.decompress(kernels.compress(kernels.bit_depth(_packed(spark, sf_dir), 16), tolerance, control)), "raw", "u16")
+
+
+@query(_ebc_sql("4.7::double"))
 def ebc_roundtrip(spark, sf_dir):
-    packed = _packed(spark, sf_dir)
-    back = kernels.decompress(kernels.compress(kernels.bit_depth(packed, 16), tolerance=4.0))
-    return fr.pixels(back).join(px(spark, sf_dir).withColumnRenamed("v", "w"), ["frame_no", "y", "x"]).select("frame_no", "y", "x", (F.abs(F.col("v") - F.col("w")) <= 4).alias("within"))
+    return _ebc(spark, sf_dir, 4.7, "abs")
+
+
+@query(_ebc_sql("0.01::double * span"))
+def ebc_relative(spark, sf_dir):
+    return _ebc(spark, sf_dir, 0.01, "rel")
+
+
+@query(_ebc_sql("span * pow(10::double, -45.0::double / 20)"))
+def ebc_psnr(spark, sf_dir):
+    return _ebc(spark, sf_dir, 45.0, "psnr")
+
+
+@query(_ebc_sql("100.0::double / sqrt(n)"))
+def ebc_l2norm(spark, sf_dir):
+    return _ebc(spark, sf_dir, 100.0, "l2norm")
 
 
 @query(f"with {P8} select frame_no, y, x, cast(v as integer) as v from p8 union all select frame_no, y, x, cast(v as integer) as v from p8")
@@ -339,6 +367,7 @@ rgb:
 bench:
   type: BenchmarkSink
   input: <rgb
+  rounds: 1
 """
 
 
@@ -346,13 +375,168 @@ bench:
 def graph_yaml(spark, sf_dir):
     path = f"{scratch_folder(spark)}/graph"
     sinks.write_directory(_packed(spark, sf_dir), path)
-    return fr.pixels(graph.build(spark, graph.parse_yaml(_GRAPH, {"folder": path}))["rgb"])
+    nodes = graph.parse_yaml(_GRAPH, {"folder": path})
+    graph.run(spark, nodes)
+    return fr.pixels(graph.build(spark, nodes)["rgb"], "rgb")
 
 
 @query(f"with {_DEBAYER} select * from rgb")
 def graph_inline(spark, sf_dir):
     path = f"{scratch_folder(spark)}/inline"
     sinks.write_directory(_packed(spark, sf_dir), path)
-    line = f"RawDirectoryReader --file-pattern {path}/*.data --width 20 --height 10 ! BitDepthConverter ! Debayer ! BenchmarkSink"
-    nodes = graph.parse_inline(line)
-    return fr.pixels(graph.build(spark, nodes)[nodes[-2].name])
+    line = f"RawDirectoryReader --file-pattern {path}/*.data --width 20 --height 10 ! BitDepthConverter ! Debayer ! RawBlobWriter --path {path}.rgb"
+    graph.run(spark, graph.parse_inline(line))
+    return fr.pixels(sources.read_blob(spark, f"{path}.rgb", fr.Interpretation(WIDTH, HEIGHT, rgb=True)), "rgb")
+
+
+@query(f"with {PX} select frame_no, y, x, cast(v // 16 as integer) as v from px where frame_no % 7 <> 3")
+def frame_gaps(spark, sf_dir):
+    """Files cut short are gaps in what a pipeline gives; the other frames keep their numbers."""
+    path = f"{scratch_folder(spark)}/broken"
+    cut = F.when(F.col("frame_no") % 7 == 3, F.substring("data", 1, 100)).otherwise(F.col("data"))
+    sinks.write_directory(_packed(spark, sf_dir).withColumn("data", cut), path)
+    nodes = graph.parse_inline(f"RawDirectoryReader --file-pattern {path}/*.data --width {WIDTH} --height {HEIGHT} ! BitDepthConverter")
+    return fr.pixels(graph.build(spark, nodes)[nodes[-1].name], "raw", "u8")
+
+
+@query(f"with {PX} select distinct frame_no, 'the file is shorter than a frame' as error from px where frame_no % 7 = 3")
+def frame_errors(spark, sf_dir):
+    path = f"{scratch_folder(spark)}/errors"
+    cut = F.when(F.col("frame_no") % 7 == 3, F.substring("data", 1, 100)).otherwise(F.col("data"))
+    sinks.write_directory(_packed(spark, sf_dir).withColumn("data", cut), path)
+    frames = sources.read_directory(spark, f"{path}/*.data", fr.Interpretation(WIDTH, HEIGHT, 12), keep_going=True)
+    return fr.failures(kernels.bit_depth(frames, 8)).select("frame_no", F.substring_index("error", ":", 1).alias("error"))
+
+
+@query(f"with {PX} select frame_no, y, x, v from px where frame_no < 4")
+def tcp_read(spark, sf_dir):
+    """Frames of a sender on the driver, to the end of the connection."""
+    data = [r["data"] for r in _packed(spark, sf_dir).where("frame_no < 4").orderBy("frame_no").select("data").collect()]
+    host = spark.conf.get("spark.driver.host", "127.0.0.1")
+    server = socket.create_server((host, 0))
+
+    def serve() -> None:
+        with server:
+            while True:  # each time that the query is run
+                connection, _ = server.accept()
+                with connection:
+                    connection.sendall(b"".join(data))
+
+    threading.Thread(target=serve, daemon=True).start()
+    return fr.pixels(sources.read_tcp(spark, f"{host}:{server.getsockname()[1]}", fr.Interpretation(WIDTH, HEIGHT, 12)), "raw", "p12")
+
+
+def _streamed(spark, frames: DataFrame, step, name: str) -> DataFrame:
+    """What a step makes of frames that come as a stream, a file at a time in order."""
+    folder = scratch_folder(spark)
+    frames.withColumn("stream", F.lit("a")).coalesce(1).sortWithinPartitions("frame_no").write.option("maxRecordsPerFile", 16).parquet(f"{folder}/in")
+    given = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    out = step(given).writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.parquet(f"{folder}/{name}")
+
+
+@query(f"with {PX}, h as (select frame_no, y, x, {_HEADED} from px) select * from h")
+def stream_dual_decode(spark, sf_dir):
+    halves = half_frames(spark, sf_dir).withColumnRenamed("half_no", "frame_no")
+    packed = packing.to_frames(halves).select("frame_no", F.lit(HEIGHT // 2).alias("height"), "data")
+    made = _streamed(spark, packed, streaming.stream_pairs, "pairs")
+    return fr.pixels(fr.raw_frames(made.select("frame_no", "data"), WIDTH, HEIGHT, "p12"), "raw", "p12")
+
+
+@query(f"with {PX} select frame_no // 5 as frame_no, y, x, round(avg(v), 2) as v from px group by all having count(*) = 5")
+def stream_average(spark, sf_dir):
+    made = _streamed(spark, packing.to_frames(px(spark, sf_dir)), lambda frames: streaming.stream_average(frames, 5), "mean")
+    planes = fr.raw_frames(made.select("frame_no", F.col("mean").alias("data")), WIDTH, HEIGHT, "f32")
+    return fr.pixels(planes, "raw", "f32").withColumn("v", F.round("v", 2))
+
+
+@query(f"with {PX}, s as (select frame_no % 5 as frame_no, y, x, v from px where frame_no < 5) select * from s")
+def replay_rounds(spark, sf_dir):
+    """What a replay of five frames shows of them, whatever its round."""
+    frames = _packed(spark, sf_dir).where("frame_no < 5")
+    folder = scratch_folder(spark)
+    shown = sources.replay(spark, frames, 5, frames_per_second=50).writeStream.format("parquet").option("path", f"{folder}/shown").option("checkpointLocation", f"{folder}/state").start()
+    for _ in range(60):
+        shown.awaitTermination(1)
+        if sum(p["numInputRows"] for p in shown.recentProgress) >= 50:
+            break
+    shown.stop()
+    seen = spark.read.schema(fr.SCHEMA).parquet(f"{folder}/shown")
+    return fr.pixels(seen.withColumn("frame_no", F.col("frame_no") % 5), "raw", "p12").distinct()
+
+
+@query(f"with {PX} select frame_no, y, x, cast(4095 - v as integer) as v from px")
+def own_node(spark, sf_dir):
+    """A node type of the user's own in a pipeline."""
+
+    @registry.register_node("PlansNegative", {"top": registry.Parameter("int", 4095, 0, 4095)}, registry.takes(registry.Port("raw", "p12")))
+    def _(spark, p, frames):
+        return fr.map_frames(frames, lambda row: [fr.made(row, p["top"] - fr.array_of(row))])
+
+    path = f"{scratch_folder(spark)}/own.blob"
+    sinks.write_blob(_packed(spark, sf_dir), path)
+    nodes = graph.parse_inline(f"RawBlobReader --file {path} --width {WIDTH} --height {HEIGHT} ! PlansNegative")
+    return fr.pixels(graph.build(spark, nodes)[nodes[-1].name], "raw", "p12")
+
+
+def _dark_sql(model: operators.RowNoiseModel) -> str:
+    """Row noise by dark columns and green differences, spelled out."""
+    dark = ", ".join(
+        f"({p}, {operators.pair_lag(i)}, {h}, {c}, {w!r}::double)" for p, half in enumerate((model.even, model.odd)) for i, pair in enumerate(half.dark) for h, row in enumerate(pair) for c, w in enumerate(row)
+    )
+    green = ", ".join(f"({p}, {k + 1}, {g[0]!r}::double, {g[1]!r}::double)" for p, half in enumerate((model.even, model.odd)) for k, g in enumerate(half.green)) or "(0, 99, 0::double, 0::double)"
+    edge = model.uncorrectable
+    return f"""with {_MEDIANS}, dw(parity, pair, half, c, w) as (values {dark}), gw(parity, lag, w0, w1) as (values {green}),
+d as (select frame_no, y, case when x < 8 then x else x - {WIDTH - 16} end as c, v - 128 as v from px where x < 8 or x >= {WIDTH - 8}),
+parts as (
+  select d.frame_no, r.y, sum(d.v * w) as part from range({edge}, {HEIGHT - edge}) r(y) join dw on dw.parity = r.y % 2 join d on d.c = dw.c and d.y = r.y - r.y % 2 + 2 * dw.pair + dw.half group by all
+  union all
+  select m.frame_no, r.y, sum(case when m.y = r.y - m.lag then -m.d * w0 else 0 end + case when m.y = r.y then m.d * w1 else 0 end) from range({edge}, {HEIGHT - edge}) r(y) join gw on gw.parity = r.y % 2
+  join med m on m.lag = gw.lag and m.y in (r.y, r.y - m.lag) group by all),
+off as (select frame_no, y, sum(part) as off from parts group by all)
+select frame_no, y, x, cast(case when off is null then v else least(greatest(floor(round(v - off - case when y % 2 = 0 then {model.even.offset!r} else {model.odd.offset!r} end, 6)), 0), 65535) end as integer) as v
+from px left join off using (frame_no, y)"""
+
+
+@query(_dark_sql(operators.load_model("internal:good")))
+def rownoise_good(spark, sf_dir):
+    return operators.remove_row_noise(px(spark, sf_dir), WIDTH, HEIGHT, operators.load_model("internal:good"))
+
+
+@query(_dark_sql(operators.load_model("internal:only_dark")))
+def rownoise_only_dark(spark, sf_dir):
+    return operators.remove_row_noise(px(spark, sf_dir), WIDTH, HEIGHT, operators.load_model("internal:only_dark"))
+
+
+@query(_dark_sql(operators.load_model("internal:good")))
+def rownoise_default_frames(spark, sf_dir):
+    return fr.pixels(kernels.row_noise(kernels.bit_depth(_packed(spark, sf_dir), 16), operators.load_model("internal:good")), "raw", "u16")
+
+
+@query(f"with {PX}, m as (select frame_no, y, avg(v) - 128 as t from px where x between 8 and 11 group by all), r as (select *, t - avg(t) over (partition by frame_no) as target from m) select cast(y % 2 as integer) as parity, round(avg(target), 6) as offset_weight from r group by all")
+def rownoise_trained_offsets(spark, sf_dir):
+    """A model of constants alone is the mean residual of even and of odd rows."""
+    model = operators.train_model(px(spark, sf_dir), WIDTH, HEIGHT, lags=0, pairs=0)
+    return spark.createDataFrame([(0, round(model.even.offset, 6)), (1, round(model.odd.offset, 6))], "parity int, offset_weight double")
+
+
+@query(f"with {PX}, n as (select count(distinct frame_no) as n from px) select n as frames, true as timed, cast(200 as bigint) as preview_pixels from n")
+def benchmark_and_preview(spark, sf_dir):
+    frames = _packed(spark, sf_dir)
+    report = sinks.benchmark(frames, rounds=1)
+    width, height = struct.unpack(">II", sinks.preview(frames, 3)[16:24])
+    return spark.createDataFrame([(report["frames"], report["fps"] > 0, width * height)], "frames long, timed boolean, preview_pixels long")
+
+
+@query(f"with {PX} select frame_no, y, x, v from px where frame_no = 4")
+def dng_served(spark, sf_dir):
+    """A file of the frame server, with a profile of the user's own, read again."""
+    folder = scratch_folder(spark)
+    os.makedirs(f"{folder}/served")
+    with open(f"{folder}/profile.yml", "w") as file:
+        file.write("UniqueCameraModel: own\nCalibrationIlluminant1: D65\nColorMatrix1: [1, 0, 0, 0, 1, 0, 0, 0, 1]\n")
+    server = sinks.FrameServer(_packed(spark, sf_dir), sinks.read_profile(f"{folder}/profile.yml"))
+    with open(f"{folder}/served/000004.dng", "wb") as file:
+        file.write(server.read("000004.dng"))
+    return fr.pixels(sources.read_dng(spark, f"{folder}/served/*.dng").withColumn("frame_no", F.lit(4).cast("long")), "raw", "p12")
