@@ -145,54 +145,68 @@ def _in_windows(frames: DataFrame, n: int) -> DataFrame:
     return frames.join(F.broadcast(windows) if seen["n"] <= BROADCAST_WINDOWS else windows, "frame_no")
 
 
-def average(frames: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Mean and variance frames of windows of n successive frames.
+def average(frames: DataFrame, n: int, std: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """Mean and, with std, variance frames of windows of n successive frames.
 
     Each task sums its share of a window (sum, sum of squares, count per
     pixel), and the partial sums of a window meet in one group of at most as
-    many rows as there are tasks: frames themselves are never gathered.
+    many rows as there are tasks: frames themselves are never gathered. Sums of
+    whole samples are whole numbers of the least width that holds n of them.
     """
     placed = _in_windows(whole(frames), n)
-    schema = "window long, n long, width int, height int, red_in_first_col boolean, red_in_first_row boolean, fps double, sums binary, squares binary"
+    shape = ("width", "height", "red_in_first_col", "red_in_first_row", "fps")
+    types = "width int, height int, red_in_first_col boolean, red_in_first_row boolean, fps double"
+
+    def type_of(elem: str, power: int) -> str:
+        if elem == "f32":
+            return "<f8"
+        most = n * ((1 << BITS[elem]) - 1) ** power
+        return "<u4" if most < 1 << 32 else "<u8" if most < 1 << 64 else "<f8"
 
     def partial(batches):
         held: dict[int, list] = {}
+        schema = pa.schema([("window", pa.int64()), ("n", pa.int64()), ("elem", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("red_in_first_col", pa.bool_()), ("red_in_first_row", pa.bool_()), ("fps", pa.float64()), ("sums", pa.binary()), ("squares", pa.binary())])
+
+        def given(window: int) -> pa.RecordBatch:
+            count, sums, squares, row = held.pop(window)
+            values = {"window": window, "n": count, "elem": row["elem"], **{c: row[c] for c in shape}, "sums": sums.tobytes(), "squares": squares.tobytes() if std else None}
+            return pa.RecordBatch.from_pylist([values], schema=schema)
+
         for batch in batches:
             for row in rows_of(batch):
-                v = array_of(row).astype(np.float64)
-                if row["window"] in held:
-                    own = held[row["window"]]
-                    own[0] += 1
-                    own[1] += v
-                    own[2] += v * v
-                else:
-                    held[row["window"]] = [1, v, v * v, row]
+                v, own = array_of(row), held.get(row["window"])
+                if own is None:
+                    own = held[row["window"]] = [0, np.zeros(v.shape, type_of(row["elem"], 1)), np.zeros(v.shape, type_of(row["elem"], 2)) if std else None, row | {"data": None}]
+                own[0] += 1
+                own[1] += v
+                if std:
+                    wide = v.astype(own[2].dtype)
+                    own[2] += wide * wide
                 if len(held) > 8:
-                    yield pa.RecordBatch.from_pylist([_partial(*held.popitem())], schema=arrow)
-        for item in held.items():
-            yield pa.RecordBatch.from_pylist([_partial(*item)], schema=arrow)
-
-    shape = [("width", pa.int32()), ("height", pa.int32()), ("red_in_first_col", pa.bool_()), ("red_in_first_row", pa.bool_()), ("fps", pa.float64())]
-    arrow = pa.schema([("window", pa.int64()), ("n", pa.int64()), *shape, ("sums", pa.binary()), ("squares", pa.binary())])
-    planes = pa.schema([("frame_no", pa.int64()), ("kind", pa.string()), ("elem", pa.string()), *shape, ("data", pa.binary()), ("var", pa.binary())])
+                    yield given(next(iter(held)))
+        for window in list(held):
+            yield given(window)
 
     def united(key, table):
-        rows = table.to_pylist()
-        count = sum(r["n"] for r in rows)
-        total, squares = (sum(np.frombuffer(r[c], np.float64) for r in rows) for c in ("sums", "squares"))
-        mean = total / count
-        first = rows[0]
-        base = {"frame_no": key[0].as_py(), "kind": "raw", "elem": "f32", **{c: first[c] for c in ("width", "height", "red_in_first_col", "red_in_first_row", "fps")}}
-        return pa.Table.from_pylist([base | {"data": packed(mean, "f32"), "var": packed(np.maximum(squares / count - mean * mean, 0), "f32")}], schema=planes)
-
-    sums = placed.mapInArrow(partial, schema)
-    out = sums.groupBy("window").applyInArrow(united, "frame_no long, kind string, elem string, width int, height int, red_in_first_col boolean, red_in_first_row boolean, fps double, data binary, var binary")
-    return out.drop("var"), out.drop("data").withColumnRenamed("var", "data")
-
-
-def _partial(window: int, held: list) -> dict:
-    n, sums, squares, row = held
-    return {"window": window, "n": n, **{c: row[c] for c in ("width", "height", "red_in_first_col", "red_in_first_row", "fps")}, "sums": sums.tobytes(), "squares": squares.tobytes()}
+        columns = {c: table.column(c).combine_chunks() for c in ("n", "elem", "sums", "squares")}
+        elem, count = columns["elem"][0].as_py(), sum(columns["n"].to_pylist())
+
+        def total(column: str, power: int) -> np.ndarray:
+            parts = (np.frombuffer(columns[column][k].as_buffer(), type_of(elem, power)) for k in range(table.num_rows))
+            out = next(parts).copy()
+            for part in parts:
+                out += part
+            return out
+
+        mean = total("sums", 1) / count
+        variance = np.maximum(total("squares", 2) / count - mean * mean, 0) if std else np.zeros(0)
+        first = {c: table.column(c)[0].as_py() for c in shape}
+        schema = pa.schema([("frame_no", pa.int64()), ("kind", pa.string()), ("elem", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("red_in_first_col", pa.bool_()), ("red_in_first_row", pa.bool_()), ("fps", pa.float64()), ("data", pa.binary()), ("var", pa.binary())])
+        return pa.Table.from_pylist([{"frame_no": key[0].as_py(), "kind": "raw", "elem": "f32", **first, "data": packed(mean, "f32"), "var": packed(variance, "f32")}], schema=schema)
+
+    sums = placed.mapInArrow(partial, f"window long, n long, elem string, {types}, sums binary, squares binary")
+    out = sums.groupBy("window").applyInArrow(united, f"frame_no long, kind string, elem string, {types}, data binary, var binary")
+    return out.drop("var"), out.drop("data").withColumnRenamed("var", "data") if std else None
 
 
 def color_voodoo(frames: DataFrame, pedestal: int = 8, s_gamma: float = 1.0, v_gamma: float = 1.0) -> DataFrame:

@@ -165,7 +165,7 @@ def _(spark, p, frames):
 
 @register_node("Average", {"n": Parameter("int", low=1), "std": Parameter("bool", False)}, takes(Port("raw", "p12"), then=lambda p, given: Port("list", "f32") if p["std"] else Port("raw", "f32")))
 def _(spark, p, frames):
-    mean, variance = kernels.average(frames, p["n"])
+    mean, variance = kernels.average(frames, p["n"], p["std"])
     return [mean, variance] if p["std"] else mean
 
 
