@@ -1,10 +1,11 @@
 """Nearest neighbours by largest inner product: hierarchical navigable small-world graphs, one per shard.
 
-Rows go to shards by a hash of their id. A shard's graph is stored as flat
-neighbour arrays (one int32 matrix per layer) and is built in growing batches:
-a batch's beam searches run in lockstep over the graph so far, in numpy. The
-queries are sent to every shard and searched there in blocks; each shard gives
-its best k by the exact double-precision product, and a merge of at most
+Rows go to shards by a hash of their id, each shard to a partition of its own.
+A shard's graph is stored as flat neighbour arrays (one int32 matrix per layer)
+and is built in growing batches: a batch's beam searches run in lockstep over
+the graph so far, in numpy. The queries are sent to every shard and searched
+there in blocks; each shard gives its best k by the exact double-precision
+product (its terms added in the order of components), and a merge of at most
 shards x k rows per query gives the result. Equal vectors of a shard are one
 node of its graph. Searching two graphs takes two
 beams, so the shard count follows the rows only beyond ROWS_PER_SHARD; a larger
@@ -46,6 +47,7 @@ class SmallWorldGraph:
         extra = np.sqrt(np.maximum(lengths.max(initial=0) - lengths, 0))
         self.points = np.hstack([vectors, extra[:, None]]).astype(np.float32)
         self.links, self.beam = links, beam
+        self._marks = np.zeros(0, bool)
         n = len(vectors)
         draws = np.random.default_rng(seed).random(n)
         self.level = np.minimum((-np.log(np.maximum(draws, 1e-12)) / np.log(links)).astype(np.int64), 8)
@@ -135,15 +137,18 @@ class SmallWorldGraph:
         """Best-first search of one layer for many queries at once: ids and products of the best `width`, best first."""
         layer, n = self.layers[k], min(len(self.layers[k]), limit)
         m = len(queries)
-        seen = np.zeros((m, n), bool)
+        if len(self._marks) < m * n:
+            self._marks = np.zeros(m * n, bool)
+        seen, marked = self._marks[: m * n].reshape(m, n), []  # all marks are taken back at the end, so no search pays for the whole matrix
         ids = np.full((m, width), -1, np.int64)
         score = np.full((m, width), -np.inf, np.float32)
         opened = np.ones((m, width), bool)
         ids[:, 0] = entry
         score[:, 0] = np.einsum("ij,ij->i", self.points[entry], queries)
         opened[:, 0] = False
-        seen[np.arange(m), entry] = True
         active = np.arange(m)
+        seen[active, entry] = True
+        marked.append((active, entry))
         step = 1 if width == 1 else 4
         while len(active):
             waiting = np.where(opened[active], -np.inf, score[active])
@@ -165,6 +170,7 @@ class SmallWorldGraph:
             row, col = np.nonzero(fresh)
             found = near[row, col]
             seen[active[row], found] = True
+            marked.append((active[row], found))
             value = np.full(near.shape, -np.inf, np.float32)
             value[row, col] = np.einsum("ij,ij->i", self.points[found], queries[active[row]])
             pool = np.hstack([ids[active], np.where(fresh, near, -1)])
@@ -174,6 +180,8 @@ class SmallWorldGraph:
             ids[active] = np.take_along_axis(pool, top, axis=1)
             score[active] = np.take_along_axis(pool_score, top, axis=1)
             opened[active] = np.take_along_axis(pool_open, top, axis=1)
+        for rows, columns in marked:
+            seen[rows, columns] = False
         order = np.argsort(-score, axis=1, kind="stable")
         return np.take_along_axis(ids, order, axis=1), np.take_along_axis(score, order, axis=1)
 
@@ -209,7 +217,7 @@ def nearest_neighbours(
     shards = shards or max(SHARDS, -(-n // ROWS_PER_SHARD))
     rows = base.where(F.col("d") == d).select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asked"), "id", "v")
     sent = asked.where(F.col("d") == d).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asked"), "id", "v")
-    dealt = rows.unionByName(sent).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "asked", "id")
+    dealt = rows.unionByName(sent).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "asked", "id")
 
     def matrix(column: pa.Array) -> np.ndarray:
         return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, d)
@@ -244,7 +252,7 @@ def nearest_neighbours(
         columns: list[list[np.ndarray]] = [[], [], []]
         for key, query, near in zip(keys, values, found, strict=True):
             near = near[near >= 0]
-            product = every[near] @ query
+            product = np.cumsum(every[near] * query, axis=1)[:, -1] if len(near) else np.zeros(0)
             lots = np.minimum(first[near + 1] - first[near], k + 1)  # of equal vectors the smallest ids are enough
             rows = np.repeat(first[near], lots) + np.arange(lots.sum()) - np.repeat(np.cumsum(lots) - lots, lots)
             ids, score = own[rows], np.repeat(product, lots)

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -134,6 +135,35 @@ def test_a_full_shard_reaches_the_recall():
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, best, strict=True)]) >= 0.9
 
 
+def test_full_shards_reach_the_recall_through_the_query(spark):
+    """Two shards of 20,000 random unit vectors, with production parameters."""
+    rng = np.random.default_rng(5)
+    n = 2 * ann.ROWS_PER_SHARD
+    points = rng.normal(size=(n, 64))
+    points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": points.tolist()})).selectExpr("vec_id", "cast(embedding as array<float>) embedding")
+    asked = np.arange(0, n, 200)
+    found = ann.nearest_neighbours(rows, rows.where("vec_id % 200 = 0"), shards=2).toPandas().sort_values(["query_id", "rank"]).groupby("query_id")["vec_id"].apply(list)
+    product = points[asked] @ points.T
+    product[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-product, axis=1)[:, :20]
+    assert np.mean([len(set(found[q]) & set(b)) / 20 for q, b in zip(asked.tolist(), best.tolist(), strict=True)]) >= 0.9
+
+
+def test_neighbours_equal_their_sql(spark):
+    """On a table small enough for graphs to find all: the same rows, to the last bit."""
+    import duckdb
+
+    from bayerloom.llm.queries import ORACLE_SQL, QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    connection = duckdb.connect()
+    connection.sql(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    expected = connection.sql(ORACLE_SQL["op10_small_world_neighbours"])
+    rows = QUERIES["op10_small_world_neighbours"](spark, folder)
+    assert rows.columns == expected.columns and sorted(map(tuple, rows.collect())) == sorted(expected.fetchall())
+
+
 def test_odd_vectors(spark):
     good = [(k, [float(k % 5), 1.0, float(k)]) for k in range(12)]
     bad = [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0]), (103, [1.0, float("nan"), 2.0]), (104, [1.0, float("inf"), 2.0]), (105, [1.0]), (None, [1.0, 1.0, 1.0])]
