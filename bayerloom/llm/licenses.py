@@ -7,6 +7,8 @@ of anchors holds, and the gaps between them are aligned in the same way, after
 their equal ends are matched. A template's coverage is its share of aligned
 words. Of templates that cover overlapping places the one with most aligned
 words counts, so that a notice isn't reported as another that it contains.
+Words between asterisks identify a template (its name, its version): if they
+aren't aligned, one behind the other, the notice is reported as `unknown`.
 
 Notices in parts, with any amount of text between, are chains of stretches of
 seeds, increasing in text and template; the gaps between stretches are aligned.
@@ -29,38 +31,67 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_slices, window_hashes, word_hashes
+from .common import map_slices, window_hashes, word_hashes, words_of
 
 SEED_WORDS = 3
 COVERAGE = 0.8
 
-#: Wordings of common notices. A name may have several.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
+UNKNOWN = "unknown"
+
+#: Wordings of common notices. A name may have several; words between asterisks tell it from others.
+_NOTICES = (
+    ("Apache-2.0", "Licensed under the *Apache* License, Version *2.0*."),
+    ("Apache-2.0", "Licensed under the *Apache* License, Version *2.0* (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "Released under the *MIT* License."),
+    ("MIT", "Licensed under the *MIT* License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("BSD", "Released under the BSD License."),
+    ("BSD", "Released under the *BSD* License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0", "This work is licensed under the *GNU General Public* License, *version 2*."),
+    ("GPL-3.0", "This work is licensed under the *GNU General Public* License, *version 3*."),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the *GNU General Public* License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the *GNU Lesser General Public* License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the *Mozilla Public* License, v. *2.0*. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("All-rights-reserved", "All rights reserved."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. *Neither the name of* the copyright holder nor the names of its contributors may be used to *endorse or promote* products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. *Neither the name of* the copyright holder nor the names of its contributors may be used to *endorse or promote* products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Distributed under the *Boost Software* License, Version *1.0*."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the *GNU Affero General Public* License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the *Eclipse Public* License *2.0* which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the *Eclipse Public* License *v1.0* which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("Artistic-2.0", "This is free software; you can redistribute it and/or modify it under the terms of the *Artistic* License *2.0*."),
+    ("Perl", "This library is free software; you can redistribute it and/or modify it under the same terms as *Perl itself*."),
 )
+#: Licences that short notices name, by what they are called in them.
+_CALLED = {
+    "MIT": "MIT", "BSD": "BSD", "ISC": "ISC", "Zlib": "Zlib", "Apache": "Apache", "BSL-1.0": "Boost Software", "EPL": "Eclipse Public", "MPL": "Mozilla Public", "Artistic": "Artistic",
+    "GPL": "GNU General Public", "LGPL": "GNU Lesser General Public", "AGPL": "GNU Affero General Public",
+}
+#: The conditions of Creative Commons licences, and their versions with what they call themselves.
+_CONDITIONS = {"": "", "-SA": "-ShareAlike", "-ND": "-NoDerivatives", "-NC": "-NonCommercial", "-NC-SA": "-NonCommercial-ShareAlike", "-NC-ND": "-NonCommercial-NoDerivatives"}
+_VERSIONS = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic", "1.0": "Generic"}
+
+
+def _templates():
+    yield from _NOTICES
+    for name, called in _CALLED.items():
+        for verb in ("Released", "Licensed"):
+            yield name, f"{verb} under the *{called}* License."
+    for version, region in _VERSIONS.items():
+        for short, long in _CONDITIONS.items():
+            yield f"CC-BY{short}-{version}", f"Licensed under *CC BY{short} {version}*."
+            yield f"CC-BY{short}-{version}", f"This work is licensed under a *Creative Commons Attribution{long} {version}* {region} License."
+
+
+TEMPLATES = tuple({text: (name, text) for name, text in _templates()}.values())
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -123,14 +154,37 @@ def chains(seeds: list[tuple[int, int]]) -> list[list[tuple[int, int, int]]]:
     passed = np.concatenate([[0], np.cumsum(np.where(n >= 4, n, 0))])
     after, before = passed[np.searchsorted(at, at + n)], passed[np.searchsorted(at, at)]
     weight, back = n.copy(), np.full(len(n), -1)
+    # stretches that end before a place are told apart by their words of the template alone: the best of each such class counts
+    classes: dict[tuple[int, int], int] = {}
+    first, last, value, holder = (np.zeros(16, np.int64) for _ in range(4))
+    ended, by_end, begins = 0, np.argsort(at + n, kind="stable"), np.searchsorted(at, at - n.max())
     for j in range(1, len(n)):
-        over = np.maximum(0, np.maximum(at[:j] + n[:j] - at[j], of[:j] + n[:j] - of[j]))
-        gain = weight[:j] - over - np.maximum(0, before[j] - after[:j])
-        gain[(at[:j] >= at[j]) | (of[:j] >= of[j]) | (over >= n[j])] = 0
-        best = j - 1 - int(gain[::-1].argmax())
-        if gain[best] > 0:
-            weight[j] += gain[best]
-            back[j] = best
+        while (i := int(by_end[ended])) < j and at[i] + n[i] <= at[j]:
+            k = classes.setdefault((int(of[i]), int(n[i])), len(classes))
+            if k == len(value):
+                first, last, value, holder = (np.concatenate([x, np.zeros_like(x)]) for x in (first, last, value, holder))
+            worth = weight[i] + after[i]
+            if worth >= value[k]:
+                first[k], last[k], value[k], holder[k] = of[i], of[i] + n[i], worth, i
+            ended += 1
+        best, chosen = 0, -1
+        if classes:
+            m = len(classes)
+            over = np.maximum(0, last[:m] - of[j])
+            gain = np.where((first[:m] < of[j]) & (over < n[j]), value[:m] - over - before[j], 0)
+            k = int(gain.argmax())
+            best, chosen = gain[k], int(holder[k])
+        near = slice(int(begins[j]), j)  # the few that reach into this one
+        if near.start < j:
+            over = np.maximum(0, np.maximum(at[near] + n[near] - at[j], of[near] + n[near] - of[j]))
+            gain = weight[near] - over - np.maximum(0, before[j] - after[near])
+            gain = np.where((at[near] < at[j]) & (of[near] < of[j]) & (over < n[j]), gain, 0)
+            k = int(gain.argmax())
+            if gain[k] > best:
+                best, chosen = gain[k], near.start + k
+        if best > 0:
+            weight[j] += best
+            back[j] = chosen
     out, used = [], np.zeros(len(n), bool)
     for j in np.argsort(-weight, kind="stable").tolist():
         chain = []
@@ -162,10 +216,22 @@ def align_chain(doc: list[int], words: list[int], chain: list[tuple[int, int, in
     return pairs
 
 
+def _marked(text: str) -> list[tuple[int, int]]:
+    """First and one past the last word of each part between asterisks."""
+    spans, at = [], 0
+    for k, part in enumerate(text.split("*")):
+        n = len(words_of(part))
+        if k % 2:
+            spans.append((at, at + n))
+        at += n
+    return spans
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         hashes, offsets = word_hashes(pa.array([t for _, t in templates], pa.string()))
         self.names = [n for n, _ in templates]
+        self.marked = [_marked(t) for _, t in templates]
         self.words = [hashes[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, words in enumerate(self.words):
@@ -175,8 +241,13 @@ class Scanner:
         self.sieve = np.zeros(1 << 18, bool)
         self.sieve[(self.codes & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
-    def scan_words(self, doc: list[int], starts: list[tuple[int, int]], least: float) -> list[tuple[int, float, int, int, int]]:
-        """(template, coverage, aligned words, first and one past the last word) of each notice; starts: (seed code, place)."""
+    def _known(self, k: int, pairs: list[tuple[int, int]]) -> bool:
+        """Whether the words that identify a template are aligned, those of a part one behind the other."""
+        at = {q: p for p, q in pairs}
+        return all(a in at and all(at.get(q) == at[a] + q - a for q in range(a, b)) for a, b in self.marked[k])
+
+    def scan_words(self, doc: list[int], starts: list[tuple[int, int]], least: float) -> list[tuple[int, float, int, int, int, bool]]:
+        """(template, coverage, aligned words, first and one past the last word, known) of each notice; starts: (seed code, place)."""
         seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for code, p in starts:
             for k, q in self.seeds[code]:
@@ -195,22 +266,37 @@ class Scanner:
                 a, b = max(0, run[0] - 2), min(len(doc), run[-1] + len(words) + 2)
                 pairs = align(doc[a:b], words)
                 if pairs and len(pairs) >= least * len(words):
-                    found.append((len(pairs), -(a + pairs[0][0]), -k, a + pairs[-1][0] + 1, frozenset(a + p for p, _ in pairs)))
-            if len(places) > 1:
-                for chain in chains(own):
+                    found.append((len(pairs), self._known(k, pairs), -(a + pairs[0][0]), -k, a + pairs[-1][0] + 1, frozenset(a + p for p, _ in pairs)))
+        taken: dict[int, int] = {}  # first words of notices and one past their last; none overlap
+        begins: list[int] = []
+        kept: dict[int, tuple] = {}
+        for number, hit in enumerate(sorted(found, key=lambda h: h[:5], reverse=True)):
+            start, end = -hit[2], hit[4]
+            place = bisect_left(begins, start)
+            if (place == 0 or taken[begins[place - 1]] <= start) and (place == len(begins) or begins[place] >= end):
+                begins.insert(place, start)
+                taken[start] = end
+                kept[number] = hit
+        holder = {p: number for number, hit in kept.items() for p in hit[5]}
+        for k, own in seeds.items():
+            # no chain may share words with a notice of at least as many words as the template has
+            words = self.words[k]
+            free = [(p, q) for p, q in own if p not in holder or kept[holder[p]][0] < len(words)]
+            if len({p - q for p, q in free}) > 1:
+                for chain in chains(free):
                     pairs = align_chain(doc, words, chain)
                     if len(pairs) >= least * len(words):
-                        parted.append((len(pairs), -pairs[0][0], -k, pairs[-1][0] + 1, frozenset(p for p, _ in pairs)))
-        kept: list[tuple[int, int, int, int, frozenset[int]]] = []
-        for hit in sorted(found, key=lambda h: h[:4], reverse=True):
-            if not any(-hit[1] < e and -s < hit[3] for _, s, _, e, _ in kept):
-                kept.append(hit)
-        for hit in sorted(parted, key=lambda h: h[:4], reverse=True):
-            met = [other for other in kept if other[4] & hit[4]]
-            fuller = all(other[0] < hit[0] for other in met)
-            if fuller and (all(other[4] <= hit[4] for other in met) or len(met) == 1 and met[0][2] == hit[2]):
-                kept = [*(other for other in kept if other not in met), hit]
-        return sorted(((-k, n / len(self.words[-k]), n, -start, end) for n, start, k, end, _ in kept), key=lambda x: x[3])
+                        parted.append((len(pairs), self._known(k, pairs), -pairs[0][0], -k, pairs[-1][0] + 1, frozenset(p for p, _ in pairs)))
+        for number, hit in enumerate(sorted(parted, key=lambda h: h[:5], reverse=True), len(found)):
+            met = {holder[p] for p in hit[5] if p in holder}
+            fuller = all(kept[other][0] < hit[0] for other in met)
+            if fuller and (all(kept[other][5] <= hit[5] for other in met) or len(met) == 1 and kept[next(iter(met))][3] == hit[3]):
+                for other in met:
+                    for p in kept.pop(other)[5]:
+                        del holder[p]
+                kept[number] = hit
+                holder.update(dict.fromkeys(hit[5], number))
+        return sorted(((-k, n / len(self.words[-k]), n, -start, end, known) for n, known, start, k, end, _ in kept.values()), key=lambda x: x[3])
 
     def scan(self, texts: pa.Array, least: float) -> list[list[tuple[str, float, int, int, int]]]:
         hashes, offsets = word_hashes(texts)
@@ -223,7 +309,7 @@ class Scanner:
         for k in np.unique(owner).tolist():
             start, stop = int(offsets[k]), int(offsets[k + 1])
             starts = [(int(windows[p]), p - start) for p in at[owner == k].tolist()]
-            out[k] = [(self.names[t], *rest) for t, *rest in self.scan_words(hashes[start:stop].tolist(), starts, least)]
+            out[k] = [(self.names[t] if known else UNKNOWN, *rest) for t, *rest, known in self.scan_words(hashes[start:stop].tolist(), starts, least)]
         return out
 
 

@@ -137,3 +137,64 @@ def test_notices_in_parts_are_found():
         assert names(mit[:80], page, mit[80:]) == [("MIT", 1.0)]
         assert names(mit[:40], page, words_of("Released under the BSD License."), page, mit[40:]) == [("MIT", 1.0), ("BSD", 1.0)]
         assert names(words_of("Licensed under CC BY-NC 4.0."), page, words_of("Licensed under CC BY-SA 4.0.")) == [("CC-BY-NC-4.0", 1.0), ("CC-BY-SA-4.0", 1.0)]
+
+
+def test_names_and_versions_must_be_there():
+    scanner = li.Scanner()
+
+    def name(text):
+        return [h[0] for h in scanner.scan(pa.array([f"some words before. {text} and some after"]), 0.8)[0]]
+
+    assert name("Released under the Zlib License.") == ["Zlib"]
+    assert name("Licensed under the Mozilla License.") == ["unknown"]
+    assert name("Released under the Apache License.") == ["Apache"]
+    assert name("This work is licensed under the GNU General Public License, version 1.") == ["unknown"]
+    assert name("Licensed under CC BY 3.0.") == ["CC-BY-3.0"]
+    assert name("This work is licensed under a Creative Commons Attribution 3.0 International License.") == ["CC-BY-3.0"]
+    assert name("Licensed under CC BY-NC-ND 4.0.") == ["CC-BY-NC-ND-4.0"]
+    assert name("Licensed under CC BY 7.0.") == ["unknown"]
+    for text, right in [(t, n) for n, t in li.TEMPLATES]:
+        assert name(text.replace("*", "")) == [right]
+
+
+def slow_length(a, b):
+    """The least length of a patience alignment by its definition: equal ends, then the longest increasing choice of words unique in both."""
+    ends = 0
+    while a and b and a[0] == b[0]:
+        a, b, ends = a[1:], b[1:], ends + 1
+    while a and b and a[-1] == b[-1]:
+        a, b, ends = a[:-1], b[:-1], ends + 1
+    both = [(p, b.index(w)) for p, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    choices = [[both[k] for k in range(len(both)) if chosen >> k & 1] for chosen in range(1 << len(both))]
+    rising = [c for c in choices if all(x[1] < y[1] for x, y in zip(c, c[1:], strict=False))]
+    longest = max(map(len, rising))
+    if not longest:
+        return {ends}
+    out = set()
+    for chain in (c for c in rising if len(c) == longest):
+        totals = {ends + longest}
+        for (p, q), (p2, q2) in zip([(-1, -1), *chain], [*chain, (len(a), len(b))], strict=True):
+            totals = {t + n for t in totals for n in slow_length(a[p + 1 : p2], b[q + 1 : q2])}
+        out |= totals
+    return out
+
+
+def test_alignments_are_those_of_the_definition():
+    """As long as an alignment that some longest choice of anchors gives, gaps aligned in the same way."""
+    rng = random.Random(11)
+    for _ in range(400):
+        a, b = ([rng.randrange(8) for _ in range(rng.randint(0, 9))] for _ in range(2))
+        assert len(li.align(a, b)) in slow_length(a, b)
+
+
+def test_many_notices_in_one_text_take_time_in_proportion():
+    import time
+
+    scanner, notice = li.Scanner(), "Released under the MIT License. Licensed under CC BY 4.0. filler words here "
+    seconds = []
+    for n in (500, 2000):
+        began = time.perf_counter()
+        (hits,) = scanner.scan(pa.array([notice * n]), 0.8)
+        seconds.append(time.perf_counter() - began)
+        assert len(hits) == 2 * n
+    assert seconds[1] < 12 * seconds[0] + 0.5
