@@ -18,10 +18,16 @@ Buckets that then still hold several components are worked out further. There,
 every node outside the bucket's largest component is compared with all others,
 first by its samples (CROSSING must agree), then by FINE_SAMPLES more that only
 such nodes get (FINE_AGREEING must; either leaves out 3e-4 of 0.8-similar
-pairs). Of those in other components its best two are verified, in later rounds
-more (WINDOWS), in the last round all. So members that are soon linked cost a
-few comparisons, and only the rest of a group is compared with all that look
-similar enough. A pair belongs to the first band that it shares and is proposed
+pairs). Of those in other components that can be similar enough its best two are
+verified, in later rounds more (WINDOWS), in the last round all. What can be is
+told by a bound: a text's
+shingles are put in one order for all texts, rarest first, and what two texts
+have in common begins with their first common shingle, so it weighs no more
+than either text from there on. Where that is too little for the least
+similarity the pair is passed over, without loss; only the shingles that can be
+first (the leading fifth by weight) are needed to tell. So members that are soon
+linked cost a few comparisons, and families of texts that share a frame but are
+less similar cost comparisons of numbers, not of texts. A pair belongs to the first band that it shares and is proposed
 in that bucket alone.
 
 Buckets of up to SMALL members are one task's work. Larger ones are, in the
@@ -47,7 +53,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, mix64, shingles_by_text, staged, word_hashes
+from .common import discard, map_slices, mix64, shingles_by_text, staged, word_hashes
 
 SIMILARITY = 0.8
 ROWS = 3
@@ -62,6 +68,7 @@ SLOTS = 1 << 18
 SMALL = 2048
 SPLITS = 3
 LEVELS = 2
+_SLACK = 1e-9  # for the rounding of sums
 _TABLE = 1 << 16
 
 
@@ -211,10 +218,11 @@ def _verified(links: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of all nodes in links (a, b), by alternating large and small stars."""
     edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
+    before, older = None, []
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
+            discard(*older)
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         before = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -224,6 +232,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: so do the lesser neighbours and the node itself
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        discard(*older)
+        older = [edges, large]
         edges = staged(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
 
 
@@ -246,8 +256,47 @@ def _mixed(members: DataFrame) -> DataFrame:
     return staged(members.join(kinds.where("low <> high").select("bucket", "n"), "bucket"), "mixed")
 
 
-def _fine_sketches(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """node, fine: the further samples of each text, 16 bits each."""
+def leading(shingles: np.ndarray, weights: np.ndarray, idf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The shingles, rarest first, that can be the first common one of a similar pair; the weight from each on; and the whole weight."""
+    order = np.lexsort((shingles, -idf[(shingles & np.uint64(SLOTS - 1)).astype(np.int64)]))
+    rest = np.cumsum(weights[order][::-1])[::-1]
+    whole = float(rest[0]) if len(rest) else 0.0
+    n = int(np.searchsorted(-rest, -least * whole * (1 - _SLACK), side="right"))
+    return shingles[order[:n]], rest[:n], whole
+
+
+class Leads:
+    """The leading shingles of a group's texts, in one array."""
+
+    def __init__(self, codes: list[bytes], rests: list[bytes], wholes: list[float]):
+        self.offsets = np.concatenate([[0], np.cumsum([len(c) // 8 for c in codes])]).astype(np.int64)
+        self.codes, self.rests = np.frombuffer(b"".join(codes), np.uint64), np.frombuffer(b"".join(rests), np.float64)
+        self.wholes = np.array(wholes)
+
+    def possible(self, k: int, others: Leads, near: np.ndarray, least: float) -> np.ndarray:
+        """Which of the texts `near` of others can be as similar to text k as least."""
+        if not len(near):
+            return np.zeros(0, bool)
+        a, b = self.offsets[k], self.offsets[k + 1]
+        own, rests = self.codes[a:b], self.rests[a:b]
+        order = np.argsort(own)
+        starts, sizes = others.offsets[near], others.offsets[near + 1] - others.offsets[near]
+        begin = np.cumsum(sizes) - sizes
+        at = np.repeat(starts - begin, sizes) + np.arange(int(sizes.sum()))
+        place = order[np.minimum(np.searchsorted(own, others.codes[at], sorter=order), max(len(own) - 1, 0))] if len(own) else np.zeros(len(at), np.int64)
+        same = own[place] == others.codes[at] if len(own) else np.zeros(len(at), bool)
+        none = len(at)
+        first = np.full(len(near), none)
+        hits = np.flatnonzero(same)
+        np.minimum.at(first, np.repeat(np.arange(len(near)), sizes)[hits], hits)
+        found = first < none
+        first = np.minimum(first, max(none - 1, 0))
+        needed = least / (1 + least) * (self.wholes[k] + others.wholes[near]) * (1 - _SLACK)
+        return found & (np.minimum(rests[place[first]], others.rests[at[first]]) >= needed) if none and len(own) else found
+
+
+def _fine_sketches(texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """node, fine: the further samples of each text, 16 bits each; lead, rest, whole: as leading gives them."""
     shipped = texts.sparkSession.sparkContext.broadcast(idf)
 
     def work():
@@ -255,23 +304,31 @@ def _fine_sketches(texts: DataFrame, idf: np.ndarray) -> DataFrame:
 
         def step(part: pa.RecordBatch) -> pa.RecordBatch:
             hashes, offsets = word_hashes(part.column("text"))
-            fine = [samples(*weighted(s, idf), _FINE_KEYS).astype(np.uint16).tobytes() for s in shingles_by_text(hashes, offsets)]
-            return pa.RecordBatch.from_arrays([part.column("node"), pa.array(fine, pa.binary())], ["node", "fine"])
+            fine, lead, rest, whole = [], [], [], []
+            for shingles in shingles_by_text(hashes, offsets):
+                form = weighted(shingles, idf)
+                fine.append(samples(*form, _FINE_KEYS).astype(np.uint16).tobytes())
+                codes, after, total = leading(*form, idf, least)
+                lead.append(codes.tobytes())
+                rest.append(after.astype(np.float64).tobytes())
+                whole.append(total)
+            columns = [part.column("node"), *(pa.array(c, pa.binary()) for c in (fine, lead, rest)), pa.array(whole, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, ["node", "fine", "lead", "rest", "whole"])
 
         return step
 
-    return map_slices(texts, "text", work, "node string, fine binary")
+    return map_slices(texts, "text", work, "node string, fine binary, lead binary, rest binary, whole double")
 
 
-def _cross_links(members: DataFrame, of: DataFrame, fine: DataFrame | None, texts: DataFrame, idf: np.ndarray, window: int | None) -> tuple[DataFrame | None, DataFrame | None]:
+def _cross_links(members: DataFrame, of: DataFrame, fine: DataFrame | None, texts: DataFrame, idf: np.ndarray, window: int | None, least: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
     """Links to try between different components that share a bucket, `window` for each node (None if no bucket has several), and the fine sketches."""
     todo = _mixed(members.select("bucket", "band", "node", "sketch").join(of, "node", "left").select("bucket", "band", "node", "sketch", F.coalesce("component", "node").alias("component")))
     found = None
     if fine is None:
-        fine = staged(_fine_sketches(texts.join(todo.select("node").distinct(), "node", "left_semi"), idf), "fine")
+        fine = staged(_fine_sketches(texts.join(todo.select("node").distinct(), "node", "left_semi"), idf, least), "fine")
 
     def best(group: pa.Table) -> pa.Table:
-        return _best_partners(group, window)
+        return _best_partners(group, window, least)
 
     for level in range(LEVELS + 1):
         if todo.isEmpty():
@@ -284,7 +341,7 @@ def _cross_links(members: DataFrame, of: DataFrame, fine: DataFrame | None, text
             if large.isEmpty():
                 break
             if window is None:
-                found = found.unionByName(_blocked_links(large, fine))
+                found = found.unionByName(_blocked_links(large, fine, least))
                 break
             # samples of other bands: all members agree in those of their own
             ways = F.array(*[((F.col("band") + 1 + level) % BANDS * ROWS + j % ROWS).cast("int") for j in range(SPLITS)])
@@ -293,7 +350,7 @@ def _cross_links(members: DataFrame, of: DataFrame, fine: DataFrame | None, text
     return None if found is None else staged(found.distinct(), "cross"), fine
 
 
-def _blocked_links(large: DataFrame, fine: DataFrame) -> DataFrame:
+def _blocked_links(large: DataFrame, fine: DataFrame, least: float) -> DataFrame:
     """All pairs of members outside the largest component of their bucket with members of other components, in blocks."""
     held = large.groupBy("bucket", "component").agg(F.count("*").alias("held")).groupBy("bucket").agg(F.max(F.struct("held", "component")).alias("top"))
     held = staged(held.select("bucket", F.col("top.held").alias("held"), F.col("top.component").alias("largest")), "largest")
@@ -312,17 +369,25 @@ def _blocked_links(large: DataFrame, fine: DataFrame) -> DataFrame:
     asking = rows.where("outside").select(*columns, own(few).alias("i"), F.lit(True).alias("asks"), every(F.col("n")).alias("j"))
     asked = rows.select(*columns, own(F.col("n")).alias("j"), F.lit(False).alias("asks"), every(few).alias("i"))
     dealt = asking.unionByName(asked).join(fine, "node")
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(_block_partners, "a string, b string").distinct()
 
+    def partners(group: pa.Table) -> pa.Table:
+        return _block_partners(group, least)
 
-def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes in order, their components, samples and further samples."""
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(partners, "a string, b string").distinct()
+
+
+def _columns(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Leads | None]:
+    """Nodes in order, their components, samples, further samples, and leading shingles if they are there."""
     nodes = np.array(group.column("node").to_pylist(), dtype=object)
     order = np.argsort(nodes)
     component = np.array(group.column("component").to_pylist(), dtype=object)[order]
     codes = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint32).reshape(len(nodes), SAMPLES)[order]
     fine = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint16).reshape(len(nodes), FINE_SAMPLES)[order]
-    return nodes[order], component, codes, fine
+    leads = None
+    if "lead" in group.column_names:
+        lead, rest, whole = (group.column(c).to_pylist() for c in ("lead", "rest", "whole"))
+        leads = Leads([lead[k] for k in order], [rest[k] for k in order], [whole[k] for k in order])
+    return nodes[order], component, codes, fine, leads
 
 
 def _alike(code: np.ndarray, fine: np.ndarray, codes: np.ndarray, fines: np.ndarray, near: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
@@ -338,27 +403,32 @@ def _pairs(nodes: list[tuple[str, str]]) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in nodes], pa.string()), "b": pa.array([b for _, b in nodes], pa.string())})
 
 
-def _block_partners(group: pa.Table) -> pa.Table:
+def _block_partners(group: pa.Table, least: float) -> pa.Table:
     """Of each asking node in a block all partners among the asked ones of other components."""
     asks = group.column("asks")
-    nodes, component, codes, fine = _columns(group.filter(asks))
-    others, other_component, other_codes, other_fine = _columns(group.filter(pc.invert(asks)))
+    nodes, component, codes, fine, leads = _columns(group.filter(asks))
+    others, other_component, other_codes, other_fine, other_leads = _columns(group.filter(pc.invert(asks)))
     band, found = group.column("band")[0].as_py(), set()
     for k in range(len(nodes)):
         near, _ = _alike(codes[k], fine[k], other_codes, other_fine, np.flatnonzero(other_component != component[k]), band)
+        if leads:
+            near = near[leads.possible(k, other_leads, near, least)]
         found.update((min(nodes[k], others[j]), max(nodes[k], others[j])) for j in near.tolist())
     return _pairs(sorted(found))
 
 
-def _best_partners(group: pa.Table, window: int | None) -> pa.Table:
+def _best_partners(group: pa.Table, window: int | None, least: float) -> pa.Table:
     """Of each member outside the bucket's largest component, its best partners in other components, of the pairs whose first shared band this is."""
-    nodes, component, codes, fine = _columns(group)
+    nodes, component, codes, fine, leads = _columns(group)
     component = np.unique(component, return_inverse=True)[1]
     band = group.column("band")[0].as_py()
     largest = np.bincount(component).argmax()
     found = set()
     for k in np.flatnonzero(component != largest).tolist():
         near, same = _alike(codes[k], fine[k], codes, fine, np.flatnonzero(component != component[k]), band)
+        if leads:
+            can = leads.possible(k, leads, near, least)
+            near, same = near[can], same[can]
         found.update((min(k, j), max(k, j)) for j in near[np.argsort(-same, kind="stable")][:window].tolist())
     return _pairs([(nodes[a], nodes[b]) for a, b in sorted(found)])
 
@@ -390,7 +460,7 @@ def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     of = staged(components(good), "components")
     tested, fine = links, None
     for window in WINDOWS:
-        more, fine = _cross_links(members, of, fine, kept, idf, window)
+        more, fine = _cross_links(members, of, fine, kept, idf, window, least)
         if more is None:
             break
         fresh = staged(more.join(tested, ["a", "b"], "left_anti"), "fresh")
@@ -420,10 +490,13 @@ def one_of_each_class(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Of each class of docs one row, of the least doc_id, with all its columns; null texts all stay."""
     _, classes = _classes(docs, least)
     absent = F.lit(-(1 << 62))
-    chosen = classes.select(F.col("kept_node").alias("__node"), F.coalesce("class_id", absent).alias("__id"))
-    keyed = docs.withColumns({"__node": _node(), "__id": F.coalesce(F.col("doc_id").cast("long"), absent)})
-    kept = keyed.where(F.col("text").isNotNull()).join(chosen, ["__node", "__id"], "left_semi")
-    narrow = keyed.where(F.col("text").isNotNull()).groupBy("__node", "__id").agg(F.count("*").alias("n"))
+    held = {c.lower() for c in docs.columns}
+    free = next(f"__{k}" for k in range(len(held) + 1) if not any(c.startswith(f"__{k}_") for c in held))
+    node, own = f"{free}_node", f"{free}_id"
+    chosen = classes.select(F.col("kept_node").alias(node), F.coalesce("class_id", absent).alias(own))
+    keyed = docs.withColumns({node: _node(), own: F.coalesce(F.col("doc_id").cast("long"), absent)})
+    kept = keyed.where(F.col("text").isNotNull()).join(chosen, [node, own], "left_semi")
+    narrow = keyed.where(F.col("text").isNotNull()).groupBy(node, own).agg(F.count("*").alias("n"))
     if not narrow.where("n > 1").isEmpty():  # rows of equal id and text
-        kept = kept.dropDuplicates(["__node", "__id"])
+        kept = kept.dropDuplicates([node, own])
     return kept.select(*docs.columns).unionByName(docs.where(F.col("text").isNull()))

@@ -128,3 +128,50 @@ def test_pairs_that_splits_part_are_proposed(spark, monkeypatch):
     of = spark.createDataFrame([], "node string, component string")
     links, _ = nd._cross_links(every.drop("fine"), of, every.select("node", "fine"), None, None, None)
     assert sorted(tuple(r) for r in links.collect()) == [(f"n{k:02}a", f"n{k:02}b") for k in range(60)]
+
+
+def test_pairs_that_cannot_be_similar_are_told_without_their_texts():
+    """The bound passes over no pair that is similar enough, and most of those well below."""
+    rng = np.random.default_rng(6)
+    idf = rng.uniform(1, 9, nd.SLOTS)
+    forms = []
+    for _ in range(120):
+        frame = rng.integers(0, 1 << 63, 200).astype(np.uint64) if not forms or rng.random() < 0.1 else frame
+        kept = frame[rng.random(len(frame)) < rng.uniform(0.85, 1)]
+        forms.append(nd.weighted(np.concatenate([kept, rng.integers(0, 1 << 63, int(rng.integers(0, 40))).astype(np.uint64)]), idf))
+    leads = [nd.leading(*f, idf, 0.8) for f in forms]
+    group = nd.Leads([c.tobytes() for c, _, _ in leads], [r.tobytes() for _, r, _ in leads], [w for _, _, w in leads])
+    every, told, low = np.arange(len(forms)), 0, 0
+    for k in range(len(forms)):
+        possible = group.possible(k, group, every, 0.8)
+        for j in range(len(forms)):
+            if nd.jaccard(forms[k], forms[j]) >= 0.8:
+                assert possible[j]
+            elif nd.jaccard(forms[k], forms[j]) < 0.6:
+                low, told = low + 1, told + (not possible[j])
+    assert told > 0.9 * low
+
+
+def test_a_family_just_below_the_similarity_costs_few_verifications(spark, monkeypatch):
+    """400 texts of one frame: 200 pairs that are similar enough, all others a little less than that."""
+    frame = " ".join(f"frame{k}" for k in range(300))
+    texts = [f"{frame} " + " ".join([f"pair{k // 2}x{j}" for j in range(4)] + [f"own{k}x{j}" for j in range(3)]) for k in range(400)]
+    idf = nd.inverse_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    forms = []
+    for text in texts:
+        hashes, offsets = nd.word_hashes(pa.array([text]))
+        forms.append(nd.weighted(next(nd.shingles_by_text(hashes, offsets)), idf))
+    below = [nd.jaccard(forms[k], forms[j]) for k in range(0, 60, 2) for j in range(k + 2, 60)]
+    assert min(nd.jaccard(forms[k], forms[k + 1]) for k in range(0, 400, 2)) >= 0.8 > max(below) and np.mean(below) > 0.72
+    verified, plain = [], nd._verified
+
+    def counting(links, *rest):
+        verified.append(links.count())
+        return plain(links, *rest)
+
+    monkeypatch.setattr(nd, "_verified", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["class_id"] for r in nd.duplicate_classes(docs).collect()}
+    assert found == {k: k // 2 * 2 for k in range(400)}
+    # two hubs of each bucket and the windows of 2 and 16 partners; the last round adds next to none
+    assert sum(verified) < 400 * (2 * nd.BANDS + 2 + 16) and verified[-1] < 400
