@@ -137,8 +137,11 @@ class Resampler:
         self.seed = seed
         marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-        n_good, n_marked = marked.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)), F.count("*")).first()
-        chosen = marked.where(good).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        n_good, n_marked, n_target = marked.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)), F.count("*"), F.coalesce(F.sum(F.when(good, 1)), F.lit(0))).first()
+        # hashes below this hold the `most` smallest ones, so that tasks send only about as many ids in all
+        below = -(1 << 63) + (1 << 64) * min(n_target, most + most // 5 + 2000) // max(n_target, 1)
+        chosen = marked.where(good & (F.xxhash64("doc_id") < F.lit(min(below, (1 << 63) - 1)))) if n_target > most else marked.where(good)
+        chosen = chosen.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = np.unique(np.array([r[0] for r in chosen.collect()], dtype=np.int64))
         self.log_ratio = np.zeros(BUCKETS)
         if len(ids):
