@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -253,7 +254,7 @@ class SpanModel:
         base, wide = candidates(text)
         if not wide:
             return base, base
-        taken = sorted((s, e) for _, s, e in base)
+        taken = _joined([(s, e) for _, s, e in base])
         more = []
         for kind, start, end, strict in sorted(wide, key=lambda c: (c[1], -c[2], c[0])):
             if strict or more and start < more[-1][2]:
@@ -263,8 +264,24 @@ class SpanModel:
         return base, sorted([*base, *more])
 
 
-def _touches(taken: list[tuple[int, int]], start: int, end: int) -> bool:
-    return any(s < end and start < e for s, e in taken) if len(taken) < 32 else bool(np.any((np.array(taken)[:, 0] < end) & (np.array(taken)[:, 1] > start)))
+def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order; none overlap."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _touches(taken: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether a span shares a place with any stretch."""
+    starts, ends = taken
+    k = bisect_right(ends, start)  # the first that ends after the span's start
+    return k < len(starts) and starts[k] < end
 
 
 def fit(docs: DataFrame) -> SpanModel:

@@ -123,3 +123,14 @@ def test_long_keys_are_candidates(model):
         assert (4, 11, 11 + n, False) in pii.candidates(text)[1]
         assert (4, 11, 11 + n) in model.spans(text)[1]
     assert not [c for c in pii.candidates("a-" * 100000 + " " + "-" * 30)[1] if c[0] == 4]
+
+
+def test_touching_is_told_as_by_definition():
+
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = [(a, a + rng.randint(1, 6)) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 8)))]
+        taken = pii._joined(spans)
+        for start in range(0, 48):
+            for end in range(start + 1, start + 5):
+                assert pii._touches(taken, start, end) == any(s < end and start < e for s, e in spans)
