@@ -5,7 +5,8 @@ found by Karp-Rabin hashes of all windows of the document) are tiled: the
 longest match of unmarked words is marked again and again until none of
 MATCH_WORDS is left. The item's share of marked words is its coverage, whatever
 the order of its parts in the document. Items of fewer words count as one
-window of all their words.
+window of all their words; items of a single word (MIN_WORDS) tell nothing and
+match nothing.
 
 The seeds of the benchmark are broadcast in blocks of at most BLOCK_BYTES of
 item text (measured first), and every block passes over all documents: nothing
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import map_slices, window_hashes, word_hashes
 
 MATCH_WORDS = 5
+MIN_WORDS = 2
 COVERAGE = 0.5
 BLOCK_BYTES = 8 << 20
 
@@ -80,7 +82,7 @@ class Benchmark:
         self.by_width: dict[int, dict[int, dict[int, list[int]]]] = {}
         for k, words in enumerate(self.words):
             width = min(MATCH_WORDS, len(words))
-            if width:
+            if width >= MIN_WORDS:
                 seeds = self.by_width.setdefault(width, defaultdict(lambda: defaultdict(list)))
                 for q, code in enumerate(window_hashes(words, width).tolist()):
                     seeds[code][k].append(q)

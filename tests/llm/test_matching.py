@@ -198,3 +198,8 @@ def test_many_notices_in_one_text_take_time_in_proportion():
         seconds.append(time.perf_counter() - began)
         assert len(hits) == 2 * n
     assert seconds[1] < 12 * seconds[0] + 0.5
+
+
+def test_items_of_one_word_match_nothing():
+    own = dc.Benchmark([(1, "the"), (2, "the end")])
+    assert [[h[0] for h in x] for x in own.hits(pa.array(["the start and the end", "the start"]), dc.COVERAGE)] == [[2], []]
