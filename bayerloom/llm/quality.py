@@ -3,7 +3,8 @@
 Words and word pairs are hashed into BUCKETS buckets. The target model counts
 those of good labelled documents (at most FIT_DOCUMENTS, those of smallest id
 hash); the raw model counts those of all documents. A document's log weight
-is the sum over its n-grams of log(target / raw). Adding Gumbel noise, seeded by
+is the sum over its n-grams of log(target / raw), each rounded to DIGITS, as is
+the sum, which so is the same in whatever order it is formed. Adding Gumbel noise, seeded by
 the text, and keeping the k largest keys samples k documents without
 replacement in proportion to their weights. k is the document count times the
 share of good ones among the labelled.
@@ -31,6 +32,8 @@ FIT_DOCUMENTS = 20_000
 SMOOTHING = 8.0
 SEED = 11
 REPEAT = np.uint64(1)
+DIGITS = 6
+NOISE_DIGITS = 9
 
 
 def _bucketed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +80,7 @@ def ngram_counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, n
 def model_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """log of target over raw probability of each bucket, drawn towards 0 where few n-grams are expected."""
     expected = raw * (target.sum() / raw.sum())
-    return np.log((target + SMOOTHING) / (expected + SMOOTHING))
+    return np.round(np.log((target + SMOOTHING) / (expected + SMOOTHING)), DIGITS)
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
@@ -121,12 +124,12 @@ def weights(texts: pa.Array, log_ratio: np.ndarray, seed: int) -> tuple[np.ndarr
     """Log weights and Gumbel keys of texts."""
     buckets, owner = _bucketed(texts)
     n = len(texts)
-    weight = np.round(np.bincount(owner, log_ratio[buckets], n).astype(np.float64) if len(buckets) else np.zeros(n), 9)
+    weight = np.round(np.bincount(owner, log_ratio[buckets], n).astype(np.float64) if len(buckets) else np.zeros(n), DIGITS)
     with np.errstate(over="ignore"):
         sums = np.zeros(n, np.uint64)
         np.add.at(sums, owner, mix64(buckets.astype(np.uint64) + np.uint64(1)))
         uniform = (mix64(sums + np.uint64(seed)) >> np.uint64(11)).astype(np.float64)
-    noise = -np.log(-np.log((uniform + 0.5) * 2.0**-53))
+    noise = np.round(-np.log(-np.log((uniform + 0.5) * 2.0**-53)), NOISE_DIGITS)
     return weight, weight + noise + 0.0
 
 
