@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontamination, language_id, licenses, near_duplicates, pii, quality, sharding, token_counts
+from . import ann, bpe, decontamination, language_id, licenses, near_duplicates, oracles, pii, quality, sharding, token_counts
 from .common import table
 
 
@@ -68,17 +68,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: Of these only the neighbours can be written as SQL that DuckDB runs, and only on tables of so few rows
-#: that the graphs find all of them; tests/llm holds the others against brute force.
+#: DuckDB runs these; models that are fitted by iteration, alignments and the libraries' tokenizers can't be written so,
+#: and tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
-    "op10_small_world_neighbours": """
-with e as (
-  select vec_id, min(embedding) as v from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
-  group by vec_id),
-n as (
-  select a.vec_id as query_id, b.vec_id as vec_id, list_inner_product(a.v::double[], b.v::double[]) as score
-  from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
-select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from n) where rank <= 20"""
+    "op2_weighted_minhash": oracles.WEIGHTED_MINHASH,
+    "op6_importance_resampling": oracles.IMPORTANCE_RESAMPLING,
+    "op7_feistel_shards": oracles.FEISTEL_SHARDS,
+    "op10_small_world_neighbours": oracles.SMALL_WORLD_NEIGHBOURS,
 }

@@ -150,20 +150,6 @@ def test_full_shards_reach_the_recall_through_the_query(spark):
     assert np.mean([len(set(found[q]) & set(b)) / 20 for q, b in zip(asked.tolist(), best.tolist(), strict=True)]) >= 0.9
 
 
-def test_neighbours_equal_their_sql(spark):
-    """On a table small enough for graphs to find all: the same rows, to the last bit."""
-    import duckdb
-
-    from bayerloom.llm.queries import ORACLE_SQL, QUERIES
-
-    folder = "/root/testdata/sf0.01"
-    connection = duckdb.connect()
-    connection.sql(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
-    expected = connection.sql(ORACLE_SQL["op10_small_world_neighbours"])
-    rows = QUERIES["op10_small_world_neighbours"](spark, folder)
-    assert rows.columns == expected.columns and sorted(map(tuple, rows.collect())) == sorted(expected.fetchall())
-
-
 def test_odd_vectors(spark):
     good = [(k, [float(k % 5), 1.0, float(k)]) for k in range(12)]
     bad = [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 2.0]), (103, [1.0, float("nan"), 2.0]), (104, [1.0, float("inf"), 2.0]), (105, [1.0]), (None, [1.0, 1.0, 1.0])]
