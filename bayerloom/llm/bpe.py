@@ -39,7 +39,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_slices
+from .common import kept, map_slices
 from .token_counts import SPACE, byte_alphabet
 
 REMEMBERED_WORDS = 250_000
@@ -324,16 +324,9 @@ class TrieEncoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_encoders: dict[bytes, TrieEncoder] = {}
-
-
 def _encoder(vocabulary: bytes) -> TrieEncoder:
     """This process's encoder of a vocabulary: worker processes outlive their tasks."""
-    key = hashlib.sha256(vocabulary).digest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = TrieEncoder(vocabulary)
-    return _encoders[key]
+    return kept(hashlib.sha256(vocabulary).digest(), lambda: TrieEncoder(vocabulary))
 
 
 def _mapped(docs: DataFrame, vocabulary_path: str, make, schema: str) -> DataFrame:
@@ -345,7 +338,7 @@ def _mapped(docs: DataFrame, vocabulary_path: str, make, schema: str) -> DataFra
         encoder = _encoder(shipped.value)
         return lambda part: make(encoder, part)
 
-    return map_slices(docs, "text", work, schema, SLICE_BYTES)
+    return map_slices(docs, "text", work, schema, SLICE_BYTES, keeps=True)
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:

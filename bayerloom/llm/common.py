@@ -65,12 +65,30 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         done, start = int(ends[stop - 1]), stop
 
 
+_kept: dict = {}
+
+
+def kept(key: bytes, make: Callable[[], object]) -> object:
+    """What this worker process keeps under key from task to task, made if it isn't there; one thing at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Drop what this process keeps: workers outlive stages, and others need the memory."""
+    _kept.clear()
+
+
 def map_slices(
-    df: DataFrame, column: str, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, limit: int = CHUNK_BYTES
+    df: DataFrame, column: str, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, limit: int = CHUNK_BYTES, keeps: bool = False
 ) -> DataFrame:
-    """Run work()(slice) over the rows of df; work() is called once in each task."""
+    """Run work()(slice) over the rows of df; work() is called once in each task, and only one that `keeps` finds what was kept."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            let_go()
         step = work()
         for batch in batches:
             for part in slices(batch, column, limit):

@@ -53,7 +53,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_slices, mix64, shingles_by_text, staged, word_hashes
+from .common import discard, let_go, map_slices, mix64, shingles_by_text, staged, word_hashes
 
 SIMILARITY = 0.8
 ROWS = 3
@@ -95,6 +95,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     def run(batches):
         from .common import slices
 
+        let_go()
         seen, n = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):

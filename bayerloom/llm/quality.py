@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, mix64, staged, word_hashes
+from .common import let_go, map_slices, mix64, staged, word_hashes
 
 BUCKETS = 1 << 14
 FIT_DOCUMENTS = 20_000
@@ -57,6 +57,7 @@ def ngram_counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, n
     def run(batches):
         from .common import slices
 
+        let_go()
         ids = shipped.value
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
