@@ -142,3 +142,98 @@ n as (
   from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from n) where rank <= 20"""
+
+
+def _crc32(name: str, source: str) -> str:
+    """CTEs: name (text, crc), the unsigned crc32 of the UTF-8 bytes of each text of source (text)."""
+    return f"""
+{name}_bits as (
+  select b::ubigint as c, b, 0 as k from range(256) r(b)
+  union all
+  select case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, b, k + 1 from {name}_bits where k < 8),
+{name}_table as (select list(c order by b) as t from {name}_bits where k = 8),
+{name} as (
+  select text,
+    xor(
+      list_reduce(
+        list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda b: ('0x' || b)::ubigint),
+        lambda c, b: xor(c >> 8, list_extract(t, (xor(c, b) & 255)::bigint + 1)), 4294967295::ubigint),
+      4294967295::ubigint) as crc
+  from {source}, {name}_table)"""
+
+
+TARGET_RESAMPLING = f"""
+with recursive texts as (
+  select 0 as target, row_number() over () as id, doc_id, text from documents
+  union all
+  select 1, row_number() over (), null, text from benchmark),
+worded as (
+  select target, id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from texts),
+featured as (
+  select target, id, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) as text from worded),
+{_crc32("checked", "(select distinct text from featured)")},
+placed as (select target, id, (crc % 10000)::bigint as bucket from featured join checked using (text)),
+counted as (select bucket, count(*) filter (where target = 0) as s, count(*) filter (where target = 1) as t from placed group by bucket),
+gained as (
+  select bucket, floor(1000 * ln((t + 1)::double * (s_all + 10000)::double / ((s + 1)::double * (t_all + 10000)::double)))::bigint as gain
+  from counted, (select sum(s) as s_all, sum(t) as t_all from counted)),
+weighed as (
+  select id, count(*) as n_features, floor(sum(gain)::double / count(*))::bigint as weight from placed join gained using (bucket) where target = 0 group by id),
+drawn as (select id, doc_id, len(words) as n_words, ('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from worded where target = 0),
+scored as (
+  select id, doc_id, n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score
+  from drawn left join weighed using (id)),
+ranked as (
+  select id, row_number() over (order by score desc, doc_id nulls last, n_features) as rank, count(*) over () as n from scored where n_words >= 20)
+select doc_id, n_features, weight, score, case when rank <= 25 * n // 100 then rank end as rank
+from scored left join ranked using (id)"""
+
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _assigned(book: str) -> str:
+    return f"""
+  select rid, d, p, x, min(struct_pack(far := coalesce(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0), entry := entry)) as found
+  from parts join {book} using (d, p) group by rid, d, p, x"""
+
+
+def _improved(book: str, nearest: str) -> str:
+    return f"""
+  select d, p, entry, coalesce(list_transform(sums, lambda s: floor(s::double / n)::bigint), c) as c
+  from {book} left join (
+    select d, p, entry, list(total order by place) as sums, any_value(n) as n
+    from (
+      select d, p, found.entry as entry, place, sum(x[place]) as total, count(*) as n
+      from {nearest}, range(1, 4096) r(place) where place <= len(x) group by all)
+    group by d, p, entry) using (d, p, entry)"""
+
+
+FILTERING_LLOYD_CODES = f"""
+with kept as (
+  select row_number() over () as rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v, len(embedding) as d
+  from embeddings where {_FINITE}),
+parts as (select rid, vec_id, v, d, p, v[p * d // 16 + 1 : (p + 1) * d // 16] as x from kept, range(16) r(p)),
+book_0 as (
+  select d, p, x as c, entry from parts join (select rid, row_number() over (partition by d order by vec_id nulls last, v) - 1 as entry from kept) using (rid) where entry < 64),
+near_0 as ({_assigned("book_0")}),
+book_1 as ({_improved("book_0", "near_0")}),
+near_1 as ({_assigned("book_1")}),
+book_2 as ({_improved("book_1", "near_1")}),
+near_2 as ({_assigned("book_2")}),
+digests as (select d, sha256(coalesce(string_agg(array_to_string(c, ','), ',' order by p, entry) filter (where len(c) > 0), '')) as codebooks_sha256 from book_2 group by d),
+coded as (
+  select rid, string_agg(printf('%02x', found.entry), '' order by p) as code, sum(found.far)::bigint as error from near_2 group by rid)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256
+from kept join coded using (rid) join digests using (d)"""
+
+HISTOGRAM_TOP_K = f"""
+with kept as (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings where {_FINITE}),
+scored as (
+  select a.rid, a.vec_id as query_id, b.vec_id, coalesce(list_inner_product(a.v, b.v), 0)::bigint as score
+  from kept a join kept b on a.rid <> b.rid and len(a.v) = len(b.v) where a.vec_id % 100 = 0)
+select query_id, rank::integer as rank, vec_id, score
+from (select *, row_number() over (partition by rid order by score desc, vec_id nulls last) as rank from scored) where rank <= 10"""

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, decontamination, language_id, licenses, near_duplicates, oracles, pii, quality, sharding, token_counts
+from . import ann, bpe, decontamination, exact_search, language_id, licenses, near_duplicates, oracles, pii, quality, resampling, sharding, token_counts, vector_codes
 from .common import table
 
 
@@ -52,6 +53,18 @@ def op10_small_world_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample_towards(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filtering_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes_with_label_errors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.exact_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_personal_data,
         op9_bpe_round_trip,
         op10_small_world_neighbours,
+        op11_target_resampling,
+        op12_filtering_lloyd_codes,
+        op13_histogram_top_k,
     )
 }
 
@@ -75,4 +91,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_importance_resampling": oracles.IMPORTANCE_RESAMPLING,
     "op7_feistel_shards": oracles.FEISTEL_SHARDS,
     "op10_small_world_neighbours": oracles.SMALL_WORLD_NEIGHBOURS,
+    "op11_target_resampling": oracles.TARGET_RESAMPLING,
+    "op12_filtering_lloyd_codes": oracles.FILTERING_LLOYD_CODES,
+    "op13_histogram_top_k": oracles.HISTOGRAM_TOP_K,
 }
