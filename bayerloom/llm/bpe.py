@@ -15,10 +15,11 @@ their border; only the symbols that touch the border while each token is being
 built (its spine) can take part.
 
 Most texts consist of chunks between single spaces, and a chunk's words don't
-depend on what is around it; so chunks and words that were seen are looked up.
-Worker processes keep what they have seen, up to fixed numbers of short words,
-chunks, and pairs of tokens. A word of any length costs 4 bytes a byte beside
-its tokens.
+depend on what is around it; so short chunks that were seen are looked up.
+Worker processes keep an encoder from task to task: some 45 MB for the
+vocabulary, REMEMBERED_BYTES twice for chunks, and fixed numbers of moves and
+pairs of tokens, below 150 MB in all. A word of any length costs 4 bytes a byte
+beside its tokens.
 
 Nulls count as empty texts: 0 tokens, hashes of nothing. A null doc_id stays
 null, every row gives one row, an empty table gives an empty result, and only
@@ -33,6 +34,7 @@ import json
 import re
 from array import array
 from itertools import chain
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,14 @@ from .common import kept, map_slices
 from .token_counts import SPACE, byte_alphabet
 
 REMEMBERED_WORDS = 250_000
+REMEMBERED_BYTES = 28 << 20
 REMEMBERED_LENGTH = 48
-REMEMBERED_PAIRS = 400_000
-REMEMBERED_MOVES = 400_000
+REMEMBERED_PAIRS = 250_000
+REMEMBERED_MOVES = 125_000
+REMEMBERED_SPINES = 4000
 LONG_WORD = 256
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+_ENTRY = 100  # bytes of a dict's entry, about
 _NEVER = 1 << 40
 
 #: How byte-level vocabularies cut texts into words before merging.
@@ -84,14 +89,13 @@ def shared_lengths(words: list[bytes]) -> list[int]:
 
 
 class TrieEncoder:
-    """Words to tuples of token ids, and ids back to bytes."""
+    """Texts to token ids, and ids back to bytes. Encodings of words and chunks are 4 bytes a token."""
 
     def __init__(self, vocabulary: bytes):
         spec = json.loads(vocabulary)
         ids, alphabet = spec["model"]["vocab"], byte_alphabet()
         to_byte = {c: b for b, c in enumerate(alphabet)}
-        self.bytes_of: dict[int, bytes] = {i: bytes(to_byte[c] for c in t) for t, i in ids.items()}
-        self.id_of = {b: i for i, b in self.bytes_of.items()}
+        bytes_of: dict[int, bytes] = {i: bytes(to_byte[c] for c in t) for t, i in ids.items()}
         self.rank: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
@@ -101,23 +105,23 @@ class TrieEncoder:
             self.halves.setdefault(made, (rank, ids[left], ids[right]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
-        self.size = {i: len(b) for i, b in self.bytes_of.items()}
-        self.digits = {i: str(i) for i in self.bytes_of}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.older_chunks: dict[str, tuple[int, ...]] = {}
         self._spines: dict[int, tuple[list, list]] = {}
         self._pairs: dict[int, bool] = {}
-        self._whole: dict[int, bool] = {}
-        self._automaton()
-
-    def _automaton(self) -> None:
+        self._automaton({b: i for i, b in bytes_of.items()})
+        bytes_of |= {i: s.encode() for s, i in self.special.items()}
+        every = range(max(bytes_of, default=-1) + 1)
+        self.bytes_of = [bytes_of.get(i, b"") for i in every]
+        self.size = [len(b) for b in self.bytes_of]
+        self.digits = [str(i) for i in every]
+        self.words: dict[str, bytes] = {}  # what chunks are encoded to, and what was remembered before them
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def _automaton(self, id_of: dict[bytes, int]) -> None:
         """The vocabulary's own trie (edges), each node's longest proper suffix that is a node (fail), and the tokens that end there."""
         edges: dict[int, int] = {}
         parent, label, token_at = [0], [0], {}
-        for text, token in self.id_of.items():
+        for text, token in id_of.items():
             node = 0
             for byte in text:
                 key = node << 8 | byte
@@ -132,6 +136,7 @@ class TrieEncoder:
             depth[node] = depth[parent[node]] + 1
         fail = [0] * len(parent)
         self.edges, self.fail = edges, fail
+        whole: dict[int, bool] = {}
         self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(parent)
         for node in sorted(range(1, len(parent)), key=depth.__getitem__):
             if depth[node] > 1:
@@ -140,8 +145,8 @@ class TrieEncoder:
                     back = fail[back]
                 fail[node] = edges.get(back << 8 | label[node], 0)
             own = token_at.get(node)
-            stand = own is not None and self.stands(own)
-            self.ends[node] = (((depth[node], own),) if stand else ()) + self.ends[fail[node]]
+            stand = own is not None and self.stands(own, whole)
+            self.ends[node] = (((depth[node], own),) + self.ends[fail[node]]) if stand else self.ends[fail[node]]
         self.moves: dict[int, int] = {}
 
     def move(self, state: int, byte: int) -> int:
@@ -157,6 +162,8 @@ class TrieEncoder:
     def spines(self, token: int) -> tuple[list, list]:
         """The symbols that touch the token's left and right border as it is built, each with the rank that ends it."""
         if token not in self._spines:
+            if len(self._spines) >= REMEMBERED_SPINES:
+                self._spines.clear()
             sides: tuple[list, list] = ([], [])
             for side, spine in enumerate(sides):
                 symbol, ends = token, _NEVER
@@ -167,17 +174,18 @@ class TrieEncoder:
                     ends = self.halves[symbol][0]
                     symbol = self.halves[symbol][1 + side]
             self._spines[token] = sides
+            return sides
         return self._spines[token]
 
-    def stands(self, token: int) -> bool:
-        """Whether the token's own bytes encode to it."""
-        known = self._whole.get(token)
+    def stands(self, token: int, whole: dict[int, bool]) -> bool:
+        """Whether the token's own bytes encode to it; whole: what is known of that."""
+        known = whole.get(token)
         if known is None:
             known = True
             if token in self.halves:
                 _, left, right = self.halves[token]
-                known = self.stands(left) and self.stands(right) and self.meet(left, right) == self.halves[token][0]
-            self._whole[token] = known
+                known = self.stands(left, whole) and self.stands(right, whole) and self.meet(left, right) == self.halves[token][0]
+            whole[token] = known
         return known
 
     def meet(self, left: int, right: int) -> int:
@@ -197,9 +205,9 @@ class TrieEncoder:
         self._pairs[left << 32 | right] = known
         return known
 
-    def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...] | array]:
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """The encodings of distinct words by one depth-first walk over their trie."""
-        made: dict[str, tuple[int, ...] | array] = {}
+        made: dict[str, bytes] = {}
         if not words:
             return made
         moves, move, ends, pairs, may_follow = self.moves.get, self.move, self.ends, self._pairs.get, self.may_follow
@@ -231,66 +239,59 @@ class TrieEncoder:
                     states[depth] = state
             if path is not last:
                 last[:] = path[: LONG_WORD + 1].tolist()
-            tokens, at = [] if path is last else array("i"), depth
+            tokens, at = array("i"), depth
             while at:
                 token = path[at]
                 tokens.append(token)
                 at -= size[token]
             tokens.reverse()
-            made[word] = tuple(tokens) if path is last else tokens
+            made[word] = tokens.tobytes()
         return made
 
-    def _learn(self, texts: set[str]) -> None:
-        """Remember the words of all these texts."""
-        words, older = self.words, self.older
-        new = texts.difference(words)
-        known = new.intersection(older)
-        for word in known:
-            words[word] = older[word]
-        words |= self.encode_words(new - known)
-
-    def _forget(self, seen: set[str], chunks: set[str]) -> None:
-        """Drop the long ones of what was just seen, and the older half of what is remembered when it is too much."""
-        for held, new in ((self.words, seen), (self.chunks, chunks)):
-            for text in [t for t in new if len(t) > REMEMBERED_LENGTH]:
-                del held[text]
-        if len(self.words) > REMEMBERED_WORDS:
-            self.words, self.older = {}, self.words
-        if len(self.chunks) > REMEMBERED_WORDS:
-            self.chunks, self.older_chunks = {}, self.chunks
+    def _remember(self, new: dict[str, bytes]) -> None:
+        """Drop the long ones of the new chunks; what is kept becomes the older half, in place of the one before, when it is too much."""
+        for text in [t for t in new if len(t) > REMEMBERED_LENGTH]:
+            del self.words[text], new[text]
+        self.held += sum(map(getsizeof, new)) + sum(map(getsizeof, new.values())) + _ENTRY * len(new)
+        if len(self.words) > REMEMBERED_WORDS or self.held > REMEMBERED_BYTES:
+            self.words, self.older, self.held = {}, self.words, 0
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """Token ids of each text."""
+        return [ids.tolist() for ids in self.encode_arrays(texts)]
+
+    def encode_arrays(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text, equal texts once."""
         distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
         collecting = gc.isenabled()
         gc.disable()  # no cycles are made, and looking for them among all that is remembered is slow
         try:
-            found = self._encode(list(distinct))
+            found = [np.frombuffer(code, np.int32) for code in self._encode(list(distinct))]
         finally:
             if collecting:
                 gc.enable()
         return [found[distinct[t]] for t in texts]
 
-    def _encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Token ids of distinct texts. A part of a text is a special token's id, a list of words, or a (first words, chunks) pair."""
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        """Encodings of distinct texts. A part of a text is a special token's encoding, a list of words, or a (first words, chunks) pair."""
         cut: list[list] = []
         chunks: set[str] = set()
+        special = {s: array("i", [i]).tobytes() for s, i in self.special.items()}
         for text in texts:
             if not text:
                 cut.append([])
-            elif self.special_split is not None and any(s in text for s in self.special):
-                cut.append([self.special[p] if p in self.special else split_words(p) for p in self.special_split.split(text) if p])
+            elif self.special_split is not None and any(s in text for s in special):
+                cut.append([special[p] if p in special else split_words(p) for p in self.special_split.split(text) if p])
             else:
                 parts = text.split(" ")
                 cut.append([(split_words(parts[0]), parts[1:])])
                 chunks.update(parts[1:])
-        new = chunks.difference(self.chunks)
+        new = chunks.difference(self.words)
         # a chunk that is empty or has white space at an end is not cut as it would be among its neighbours
         odd = {c for c in new if not c or _AT_BORDER.match(c)}
         new -= odd
-        for chunk in new.intersection(self.older_chunks):
-            self.chunks[chunk] = self.older_chunks[chunk]
-        new = new.difference(self.chunks)
+        codes = {c: self.older[c] for c in new.intersection(self.older)}
+        new.difference_update(codes)
         if odd:
             for k, parts in enumerate(cut):
                 if parts and isinstance(parts[0], tuple) and not odd.isdisjoint(parts[0][1]):
@@ -299,29 +300,30 @@ class TrieEncoder:
         words = set(chain.from_iterable(inside.values()))
         for parts in cut:
             for part in parts:
-                if not isinstance(part, int):
+                if not isinstance(part, bytes):
                     words.update(part[0] if isinstance(part, tuple) else part)
-        self._learn(words)
-        get, get_chunk = self.words.__getitem__, self.chunks.__getitem__
+        get = self.encode_words(words).__getitem__
         for chunk, own in inside.items():
-            self.chunks[chunk] = get(own[0]) if len(own) == 1 else tuple(chain.from_iterable(map(get, own)))
+            codes[chunk] = get(own[0]) if len(own) == 1 else b"".join(map(get, own))
+        self.words |= codes
+        get_chunk = self.words.__getitem__
         found = []
         for parts in cut:
-            ids: list[int] = []
+            pieces: list[bytes] = []
             for part in parts:
-                if isinstance(part, int):
-                    ids.append(part)
+                if isinstance(part, bytes):
+                    pieces.append(part)
                 elif isinstance(part, tuple):
-                    ids.extend(chain.from_iterable(map(get, part[0])))
-                    ids.extend(chain.from_iterable(map(get_chunk, part[1])))
+                    pieces += map(get, part[0])
+                    pieces += map(get_chunk, part[1])
                 else:
-                    ids.extend(chain.from_iterable(map(get, part)))
-            found.append(ids)
-        self._forget(words, new)
+                    pieces += map(get, part)
+            found.append(b"".join(pieces))
+        self._remember(codes)
         return found
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
 
 
 def _encoder(vocabulary: bytes) -> TrieEncoder:
@@ -346,9 +348,11 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def make(encoder: TrieEncoder, part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column("text").to_pylist()
-        ids = encoder.encode(texts)
+        ids = encoder.encode_arrays(texts)
         same = [encoder.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
-        columns = [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(same, pa.bool_())]
+        lengths = np.array([len(i) for i in ids], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+        columns = [part.column("doc_id"), lists, pa.array(lengths), pa.array(same, pa.bool_())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "lossless"])
 
     return _mapped(docs.select("doc_id", "text"), vocabulary_path, make, "doc_id long, ids array<int>, n_tokens long, lossless boolean")
@@ -375,7 +379,8 @@ def round_trip_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def make(encoder: TrieEncoder, part: pa.RecordBatch) -> pa.RecordBatch:
         counts, codes, texts = [], [], []
-        for ids in encoder.encode(part.column("text").to_pylist()):
+        for found in encoder.encode_arrays(part.column("text").to_pylist()):
+            ids = found.tolist()
             counts.append(len(ids))
             codes.append(hashlib.sha256(",".join(map(encoder.digits.__getitem__, ids)).encode()).hexdigest())
             texts.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())

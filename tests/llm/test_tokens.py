@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 
 import public_tokenizers
 import pytest
@@ -86,3 +87,27 @@ def test_odd_rows(odd_docs, no_docs):
     assert texts == {r["doc_id"]: r["text"] or "" for r in odd_docs.where("doc_id is not null").collect()}
     for empty in (token_counts.token_counts(no_docs, WORD), bpe.encode_documents(no_docs, BYTE), bpe.round_trip_digests(no_docs, BYTE)):
         assert empty.count() == 0
+
+
+def held_bytes(thing, seen: set) -> int:
+    if id(thing) in seen:
+        return 0
+    seen.add(id(thing))
+    inner = [x for pair in thing.items() for x in pair] if isinstance(thing, dict) else thing if isinstance(thing, (list, tuple)) else ()
+    return sys.getsizeof(thing) + sum(held_bytes(x, seen) for x in inner)
+
+
+def test_an_encoder_stays_small_with_all_it_remembers():
+    """Below 150 MB once chunks, older chunks, moves and pairs have reached their bounds, on texts of few repeats."""
+    rng = random.Random(2)
+    encoder = bpe.TrieEncoder(open(BYTE, "rb").read())
+    turns = 0
+    for k in range(400):
+        before = encoder.older
+        letters = "abcdefghijklmnopqrstuvwxyzéß中文Σ0123456789-_./'"
+        encoder.encode_arrays([" ".join("".join(rng.choices(letters, k=rng.randint(2, 14))) for _ in range(300)) for _ in range(20)])
+        turns += encoder.older is not before
+        if turns == 2 and encoder.held > 0.9 * bpe.REMEMBERED_BYTES:
+            break
+    assert turns == 2 and encoder.held > 0.9 * bpe.REMEMBERED_BYTES
+    assert held_bytes(vars(encoder), set()) < 150e6
