@@ -59,7 +59,39 @@ class Interpretation:
 def described(frames: DataFrame, interpretation: Interpretation, *others: str) -> DataFrame:
     """(frame_no, data) with the description added, and other columns kept."""
     types = {"width": "int", "height": "int"}
-    return frames.withColumns({k: F.lit(v).cast(types[k]) if k in types else F.lit(v) for k, v in interpretation.columns().items()}).select(*COLUMNS, *others)
+    made_frames = frames.withColumns({k: F.lit(v).cast(types[k]) if k in types else F.lit(v) for k, v in interpretation.columns().items()}).select(*COLUMNS, *others)
+    return _by(made_frames, frames, lambda f: described(f, interpretation, *others))
+
+
+def _by(frames: DataFrame, given: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Notes that frames are step(given), and that the step keeps numbers."""
+    frames.made_by = given, step
+    return frames
+
+
+def read_by(load: Callable[[int, int], DataFrame]) -> DataFrame:
+    """load(0, ALL), noting that the frames of a range of numbers can be loaded without the others."""
+    frames = load(0, ALL)
+    frames.loaded_by = load
+    return frames
+
+
+ALL = 1 << 62
+
+
+def chosen(frames: DataFrame, low: int, high: int = ALL) -> DataFrame:
+    """The frames numbered low .. high - 1.
+
+    The choice is made before the steps that keep numbers, which Spark can't
+    look into, and by the source where it can: others are not read or worked on.
+    """
+    if not frames.is_cached:
+        if hasattr(frames, "loaded_by"):
+            return frames.loaded_by(low, high)
+        if hasattr(frames, "made_by"):
+            given, step = frames.made_by
+            return step(chosen(given, low, high))
+    return frames.where((F.col("frame_no") >= low) & (F.col("frame_no") < high))
 
 
 def raw_frames(frames: DataFrame, width: int, height: int, elem: str, fps: float = 24.0) -> DataFrame:
@@ -110,12 +142,12 @@ def batch_of(row: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 def tolerant(frames: DataFrame) -> DataFrame:
     """Frames whose steps report errors instead of ending the query."""
-    return frames if "error" in frames.columns else frames.withColumn("error", F.lit(None).cast("string"))
+    return frames if "error" in frames.columns else _by(frames.withColumn("error", F.lit(None).cast("string")), frames, tolerant)
 
 
 def whole(frames: DataFrame) -> DataFrame:
     """The frames without an error; their numbers have gaps where the others were."""
-    return frames.where(F.col("error").isNull()).drop("error") if "error" in frames.columns else frames
+    return _by(frames.where(F.col("error").isNull()).drop("error"), frames, whole) if "error" in frames.columns else frames
 
 
 def failures(frames: DataFrame) -> DataFrame:
@@ -125,24 +157,67 @@ def failures(frames: DataFrame) -> DataFrame:
     return frames.sparkSession.createDataFrame([], "frame_no long, error string")
 
 
-def map_frames(frames: DataFrame, work: Callable[[dict], list[dict]]) -> DataFrame:
-    """Apply work to each frame, one at a time: nothing is shuffled, and a task holds an Arrow batch of frames."""
+def worked(row: dict, work: Callable[[dict], list[dict]]) -> list[dict]:
+    """What work makes of a frame; an error is in its place where frames may have one."""
+    if row.get("error") is not None:
+        return [row]
+    try:
+        return work(row)
+    except Exception as e:
+        if "error" not in row:
+            raise
+        print(f"error in frame {row['frame_no']}: {e}", file=sys.stderr)
+        return [row | {"data": None, "error": f"{type(e).__name__}: {e}"}]
+
+
+def map_frames(frames: DataFrame, work: Callable[[dict], list[dict]], keeps_numbers: bool = True) -> DataFrame:
+    """Apply work to each frame, one at a time: nothing is shuffled, and a task holds an Arrow batch of frames.
+
+    keeps_numbers: what work gives has the number of the frame that it gets.
+    """
     names = frames.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                try:
-                    rows = [row] if row.get("error") is not None else work(row)
-                except Exception as e:
-                    if "error" not in row:
-                        raise
-                    rows = [row | {"data": None, "error": f"{type(e).__name__}: {e}"}]
-                    print(f"error in frame {row['frame_no']}: {e}", file=sys.stderr)
-                for made_row in rows:
+                for made_row in worked(row, work):
                     yield batch_of(made_row, batch.schema)
 
-    return frames.select(*names).mapInArrow(run, frames.schema)
+    made_frames = frames.select(*names).mapInArrow(run, frames.schema)
+    return _by(made_frames, frames, lambda f: map_frames(f, work)) if keeps_numbers else made_frames
+
+
+LOOK_AHEAD = 64 << 20
+
+
+def pull_ordered(frames: DataFrame, look_ahead: int = LOOK_AHEAD) -> Iterator[tuple[int, bytes]]:
+    """(frame_no, data) of all frames without an error, in order, for what can only take them one after another.
+
+    Tasks write frames to the shared folder as they come; numbers and sizes
+    alone are put in order. Frames are then fetched by runs of numbers of at
+    most look_ahead bytes, or one frame, so that is what the driver holds.
+    """
+    from .numbering import RANGE_ROWS, in_ranges
+    from .staging import scratch_folder
+
+    spark, folder = frames.sparkSession, scratch_folder(frames.sparkSession)
+    whole(frames).select("frame_no", F.length("data").cast("long").alias("size"), "data").write.option("parquet.block.size", 32 << 20).parquet(folder)
+    staged = spark.read.schema("frame_no long, size long, data binary").parquet(folder)
+    placed, ranges = in_ranges(staged.select("frame_no", "size"), "frame_no", RANGE_ROWS)
+
+    def fetched(low: int, high: int) -> Iterator[tuple[int, bytes]]:
+        for row in sorted(staged.where(F.col("frame_no").between(low, high)).select("frame_no", "data").collect()):
+            yield row["frame_no"], bytes(row["data"])
+
+    for part, *_ in ranges:
+        low, high, held = None, None, 0
+        for number, size in sorted(map(tuple, placed.where(F.col("part") == part).select("frame_no", "size").collect())):
+            if low is not None and held + size > look_ahead:
+                yield from fetched(low, high)
+                low, held = None, 0
+            low, high, held = number if low is None else low, number, held + size
+        if low is not None:
+            yield from fetched(low, high)
 
 
 def pixels(frames: DataFrame, kind: str | None = None, elem: str | None = None) -> DataFrame:

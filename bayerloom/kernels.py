@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import BITS, DEPTHS, array_of, made, map_frames, packed, rows_of, whole
+from .frames import BITS, DEPTHS, array_of, batch_of, made, map_frames, packed, rows_of, whole, worked
+from .functions import tables
+from .functions.packing import unpack12
 from .operators.dual import pair_halves
 from .operators.lut import Cube
 from .operators.rownoise import BLACK, DARK_COLUMNS, RowNoiseModel, pair_lag
@@ -92,25 +94,38 @@ def darkframe_subtract(frames: DataFrame, dark: np.ndarray) -> DataFrame:
     return map_frames(frames, work)
 
 
+ROWS_AT_ONCE = 64
+
+
 def row_noise(frames: DataFrame, model: RowNoiseModel, strip_dark_columns: bool = False) -> DataFrame:
+    """All rows of a parity are predicted together, then corrected ROWS_AT_ONCE at a time."""
+    halves = [(half.offset, np.array(half.green, np.float64).reshape(-1, 2), [(pair_lag(i), np.array(pair, np.float64)) for i, pair in enumerate(half.dark)]) for half in (model.even, model.odd)]
+
     def work(row: dict) -> list[dict]:
-        v = array_of(row).astype(np.float64)
+        v = array_of(row)
         h, w = v.shape
         edge = model.uncorrectable
         parity = int(row["red_in_first_col"] == row["red_in_first_row"])
-        green = np.stack([v[y, (y + parity) % 2 :: 2] for y in range(h)])
-        medians = [np.sort(green[: h - lag] - green[lag:], axis=1)[:, green.shape[1] // 2] for lag in range(1, model.lags + 1)]
-        dark = np.hstack([v[:, :DARK_COLUMNS], v[:, w - DARK_COLUMNS :]]) - BLACK
+        green = np.empty((h, (w + 1) // 2), np.float32 if v.dtype.kind == "f" else np.int32)
+        width = min(len(range(parity, w, 2)), len(range(1 - parity, w, 2)))
+        green = green[:, :width]
+        for k in range(2):
+            green[k::2] = v[k::2, (k + parity) % 2 :: 2][:, :width]
+        medians = [np.partition(green[: h - lag] - green[lag:], width // 2, axis=1)[:, width // 2].astype(np.float64) for lag in range(1, model.lags + 1)]
+        dark = np.hstack([v[:, :DARK_COLUMNS], v[:, w - DARK_COLUMNS :]]).astype(np.float64) - BLACK
         out = v.copy()
-        for y in range(edge, h - edge):
-            half = model.odd if y % 2 else model.even
-            off = half.offset
-            for lag, (before, after) in enumerate(half.green, 1):
+        for k, (offset, weights, pairs) in enumerate(halves):
+            y = np.arange(edge, h - edge)
+            y = y[y % 2 == k]
+            off = np.full(len(y), float(offset))
+            for lag, (before, after) in enumerate(weights.tolist(), 1):
                 off += medians[lag - 1][y] * after - medians[lag - 1][y - lag] * before
-            for i, pair in enumerate(half.dark):
-                first = y - y % 2 + 2 * pair_lag(i)
-                off += dark[first] @ np.array(pair[0]) + dark[first + 1] @ np.array(pair[1])
-            out[y] = np.clip(np.floor(np.round(v[y] - off, 6)), 0, 65535)
+            for lag, pair in pairs:
+                first = y - y % 2 + 2 * lag
+                off += dark[first] @ pair[0] + dark[first + 1] @ pair[1]
+            for at in range(0, len(y), ROWS_AT_ONCE):
+                rows = y[at : at + ROWS_AT_ONCE]
+                out[rows] = np.clip(np.floor(np.round(v[rows].astype(np.float64) - off[at : at + ROWS_AT_ONCE, None], 6)), 0, 65535)
         return [made(row, out[:, DARK_COLUMNS : w - DARK_COLUMNS] if strip_dark_columns else out)]
 
     return map_frames(frames, work)
@@ -145,96 +160,249 @@ def _in_windows(frames: DataFrame, n: int) -> DataFrame:
     return frames.join(F.broadcast(windows) if seen["n"] <= BROADCAST_WINDOWS else windows, "frame_no")
 
 
-def average(frames: DataFrame, n: int, std: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """Mean and, with std, variance frames of windows of n successive frames.
-
-    Each task sums its share of a window (sum, sum of squares, count per
-    pixel), and the partial sums of a window meet in one group of at most as
-    many rows as there are tasks: frames themselves are never gathered. Sums of
-    whole samples are whole numbers of the least width that holds n of them.
+BAND_SAMPLES = 1 << 16  # an even number, so that a band of packed 12-bit samples is whole bytes
+HELD_BYTES = 256 << 20
+_SHAPE = ("elem", "width", "height", "red_in_first_col", "red_in_first_row", "fps")
+_SHAPE_TYPES = "elem string, width int, height int, red_in_first_col boolean, red_in_first_row boolean, fps double"
+
+
+class Moments:
+    """Count and by sample sum and sum of squares, exact for whole samples; mean and squared deviations for floats."""
+
+    def __init__(self, elem: str, most: int, size: int, squares: bool):
+        """most: how many frames there may be; sums have the least width that holds as many."""
+        self.real, self.n = elem == "f32", 0
+        self.a = np.zeros(size, self.type_of(elem, most, 1))
+        self.b = np.zeros(size, self.type_of(elem, most, 2)) if squares else None
+
+    @staticmethod
+    def type_of(elem: str, most: int, power: int) -> str:
+        largest = most * ((1 << BITS[elem]) - 1) ** power
+        return "<f8" if elem == "f32" or largest >= 1 << 64 else "<u4" if largest < 1 << 32 else "<u8"
+
+    def add(self, samples: np.ndarray) -> None:
+        self.n += 1
+        if self.real:
+            off = samples - self.a
+            self.a += off / self.n
+            if self.b is not None:
+                self.b += off * (samples - self.a)
+            return
+        self.a += samples
+        if self.b is not None:
+            wide = samples.astype(self.b.dtype)
+            self.b += wide * wide
+
+    def merge(self, n: int, a: np.ndarray, b: np.ndarray | None) -> None:
+        if self.real:
+            off, total = a - self.a, self.n + n
+            self.a += off * (n / total)
+            if self.b is not None:
+                self.b += b + off * off * (self.n * n / total)
+        else:
+            self.a += a
+            if self.b is not None:
+                self.b += b
+        self.n += n
+
+    def results(self) -> tuple[np.ndarray, np.ndarray | None]:
+        """Mean and population variance."""
+        if self.real:
+            return self.a, None if self.b is None else self.b / self.n
+        mean = self.a / self.n
+        return mean, None if self.b is None else np.maximum(self.b / self.n - mean * mean, 0)
+
+
+def _band_rows(batches, n: int, std: bool, size: int, schema: pa.Schema):
+    """(window, band, n, a, b, ...) for the frames of a task: moments, or, of few frames, their own samples (n = 0)."""
+    held: dict[int, tuple[dict, list, list]] = {}  # the first frame, frames' bytes, Moments of all frames once those would be larger
+    size_of = {}
+
+    def kept_bytes(window: int) -> int:
+        _, raw, sums = held[window]
+        return sum(len(r) for r in raw) + sum(m.a.nbytes + (m.b.nbytes if std else 0) for m in sums)
+
+    def given(window: int):
+        first, raw, sums = held.pop(window)
+        samples = size_of.pop(window)
+        shape = {c: first[c] for c in _SHAPE}
+        for band, at in enumerate(range(0, samples, size)):
+            stop = min(samples, at + size)
+            rows = [{"n": m.n, "a": m.a[at:stop].tobytes(), "b": m.b[at:stop].tobytes() if std else None} for m in sums]
+            rows += [{"n": 0, "a": r[at * BITS[first["elem"]] // 8 : -(-stop * BITS[first["elem"]] // 8)], "b": None} for r in raw]
+            yield pa.RecordBatch.from_pylist([{"window": window, "band": band, **shape, **row} for row in rows], schema=schema)
+
+    for batch in batches:
+        for row in rows_of(batch):
+            window = row["window"]
+            if window not in held:
+                held[window] = (row | {"data": None}, [], [])
+                size_of[window] = array_of(row).size
+            first, raw, sums = held[window]
+            if any(first[c] != row[c] for c in ("elem", "width", "height")):
+                raise ValueError(f"frame {row['frame_no']} isn't of the size of the others of its window")
+            if sums:
+                sums[0].add(array_of(row).ravel())
+            else:
+                raw.append(bytes(row["data"]))
+                moments = size_of[window] * sum(np.dtype(Moments.type_of(row["elem"], n, p)).itemsize for p in ((1, 2) if std else (1,)))
+                if sum(map(len, raw)) > moments:
+                    sums.append(Moments(row["elem"], n, size_of[window], std))
+                    for data in raw:
+                        sums[0].add(array_of(row | {"data": data}).ravel())
+                    raw.clear()
+            while len(held) > 1 and sum(map(kept_bytes, held)) > HELD_BYTES:
+                yield from given(next(iter(held)))
+    for window in list(held):
+        yield from given(window)
+
+
+def _merged_bands(batches, n: int, std: bool, size: int, schema: pa.Schema):
+    """One row of mean and variance for each run of rows of one window and band; rows come in that order."""
+    key, first, moments = None, None, None
+
+    def given():
+        if moments.n != n:
+            raise ValueError(f"window {key[0]} has {moments.n} frames, not {n}")
+        mean, variance = moments.results()
+        return pa.RecordBatch.from_pylist([{"frame_no": key[0], "band": key[1], "kind": "raw", **first, "elem": "f32", "mean": packed(mean, "f32"), "var": packed(variance, "f32") if std else None}], schema=schema)
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {name: column[k] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+            own = row["window"].as_py(), row["band"].as_py()
+            elem, count, data = row["elem"].as_py(), row["n"].as_py(), row["a"].as_buffer()
+            if own != key:
+                if key is not None:
+                    yield given()
+                key, first = own, {c: row[c].as_py() for c in _SHAPE}
+                moments = Moments(elem, n, min(first["width"] * first["height"] - own[1] * size, size), std)
+            if any(first[c] != row[c].as_py() for c in ("elem", "width", "height")):
+                raise ValueError(f"the frames of window {own[0]} aren't of one size")
+            if count:
+                moments.merge(count, np.frombuffer(data, moments.a.dtype), np.frombuffer(row["b"].as_buffer(), moments.b.dtype) if std else None)
+            else:
+                flat = np.frombuffer(data, np.uint8)
+                moments.add((unpack12(flat) if elem == "p12" else flat.view({"u8": "u1", "u16": "<u2", "f32": "<f4"}[elem]))[: len(moments.a)])
+    if key is not None:
+        yield given()
+
+
+def _joined_bands(batches):
+    """Whole planes from their bands, which come in order."""
+    first, parts = None, []
+
+    def given():
+        return batch_of(first | {"data": b"".join(parts)}, pa.schema([f for f in batch.schema if f.name != "band"]))
+
+    for batch in batches:
+        for row in rows_of(batch):
+            if first is not None and row["frame_no"] != first["frame_no"]:
+                yield given()
+                first, parts = None, []
+            data = bytes(row.pop("data"))
+            row.pop("band")
+            first = first or row
+            parts.append(data)
+    if first is not None:
+        yield given()
+
+
+def average_bands(frames: DataFrame, n: int, std: bool = True, band_samples: int = BAND_SAMPLES) -> DataFrame:
+    """(frame_no, band, kind, ..., mean, var): float planes of windows of n successive frames, band_samples (an even number) samples a row.
+
+    Each task sums its share of a window and sends it by bands, as its frames'
+    own samples where those are fewer bytes. Rows of a band meet in order in one
+    task, which merges them one by one: it holds one band, however many frames
+    or tasks there are.
     """
     placed = _in_windows(whole(frames), n)
-    shape = ("width", "height", "red_in_first_col", "red_in_first_row", "fps")
-    types = "width int, height int, red_in_first_col boolean, red_in_first_row boolean, fps double"
+    partial = pa.schema([("window", pa.int64()), ("band", pa.int32()), ("elem", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("red_in_first_col", pa.bool_()), ("red_in_first_row", pa.bool_()), ("fps", pa.float64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+    merged = pa.schema([("frame_no", pa.int64()), ("band", pa.int32()), ("kind", pa.string()), *[partial.field(c) for c in _SHAPE], ("mean", pa.binary()), ("var", pa.binary())])
+    sums = placed.mapInArrow(lambda batches: _band_rows(batches, n, std, band_samples, partial), f"window long, band int, {_SHAPE_TYPES}, n long, a binary, b binary")
+    met = sums.repartition("window", "band").sortWithinPartitions("window", "band")
+    return met.mapInArrow(lambda batches: _merged_bands(batches, n, std, band_samples, merged), f"frame_no long, band int, kind string, {_SHAPE_TYPES}, mean binary, var binary")
 
-    def type_of(elem: str, power: int) -> str:
-        if elem == "f32":
-            return "<f8"
-        most = n * ((1 << BITS[elem]) - 1) ** power
-        return "<u4" if most < 1 << 32 else "<u8" if most < 1 << 64 else "<f8"
 
-    def partial(batches):
-        held: dict[int, list] = {}
-        schema = pa.schema([("window", pa.int64()), ("n", pa.int64()), ("elem", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("red_in_first_col", pa.bool_()), ("red_in_first_row", pa.bool_()), ("fps", pa.float64()), ("sums", pa.binary()), ("squares", pa.binary())])
+def average(frames: DataFrame, n: int, std: bool = True, band_samples: int = BAND_SAMPLES) -> tuple[DataFrame, DataFrame | None]:
+    """Mean and, with std, variance frames of windows of n successive frames; what is put together once are whole planes."""
+    bands = average_bands(frames, n, std, band_samples)
 
-        def given(window: int) -> pa.RecordBatch:
-            count, sums, squares, row = held.pop(window)
-            values = {"window": window, "n": count, "elem": row["elem"], **{c: row[c] for c in shape}, "sums": sums.tobytes(), "squares": squares.tobytes() if std else None}
-            return pa.RecordBatch.from_pylist([values], schema=schema)
+    def planes(column: str) -> DataFrame:
+        parts = bands.select("frame_no", "band", "kind", *_SHAPE, F.col(column).alias("data"))
+        return parts.repartition("frame_no").sortWithinPartitions("frame_no", "band").mapInArrow(_joined_bands, f"frame_no long, kind string, {_SHAPE_TYPES}, data binary")
 
-        for batch in batches:
-            for row in rows_of(batch):
-                v, own = array_of(row), held.get(row["window"])
-                if own is None:
-                    own = held[row["window"]] = [0, np.zeros(v.shape, type_of(row["elem"], 1)), np.zeros(v.shape, type_of(row["elem"], 2)) if std else None, row | {"data": None}]
-                own[0] += 1
-                own[1] += v
-                if std:
-                    wide = v.astype(own[2].dtype)
-                    own[2] += wide * wide
-                if len(held) > 8:
-                    yield given(next(iter(held)))
-        for window in list(held):
-            yield given(window)
-
-    def united(key, table):
-        columns = {c: table.column(c).combine_chunks() for c in ("n", "elem", "sums", "squares")}
-        elem, count = columns["elem"][0].as_py(), sum(columns["n"].to_pylist())
-
-        def total(column: str, power: int) -> np.ndarray:
-            parts = (np.frombuffer(columns[column][k].as_buffer(), type_of(elem, power)) for k in range(table.num_rows))
-            out = next(parts).copy()
-            for part in parts:
-                out += part
-            return out
-
-        mean = total("sums", 1) / count
-        variance = np.maximum(total("squares", 2) / count - mean * mean, 0) if std else np.zeros(0)
-        first = {c: table.column(c)[0].as_py() for c in shape}
-        schema = pa.schema([("frame_no", pa.int64()), ("kind", pa.string()), ("elem", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("red_in_first_col", pa.bool_()), ("red_in_first_row", pa.bool_()), ("fps", pa.float64()), ("data", pa.binary()), ("var", pa.binary())])
-        return pa.Table.from_pylist([{"frame_no": key[0].as_py(), "kind": "raw", "elem": "f32", **first, "data": packed(mean, "f32"), "var": packed(variance, "f32")}], schema=schema)
-
-    sums = placed.mapInArrow(partial, f"window long, n long, elem string, {types}, sums binary, squares binary")
-    out = sums.groupBy("window").applyInArrow(united, f"frame_no long, kind string, elem string, {types}, data binary, var binary")
-    return out.drop("var"), out.drop("data").withColumnRenamed("var", "data") if std else None
+    return planes("mean"), planes("var") if std else None
 
 
 def color_voodoo(frames: DataFrame, pedestal: int = 8, s_gamma: float = 1.0, v_gamma: float = 1.0) -> DataFrame:
-    def work(row: dict) -> list[dict]:
-        c = np.clip((array_of(row) - float(pedestal)) / (256.0 - pedestal), 0, 1)
-        hi, lo = c.max(axis=2, keepdims=True), c.min(axis=2, keepdims=True)
+    """Large frames are looked up: what a channel becomes depends on the pixel's largest and least channel and its own value."""
+
+    def graded(hi: np.ndarray, lo: np.ndarray, c: np.ndarray) -> np.ndarray:
+        hi, lo, c = (np.clip((x - float(pedestal)) / (256.0 - pedestal), 0, 1) for x in (hi, lo, c))
         with np.errstate(divide="ignore", invalid="ignore"):
             sat, t = np.where(hi > 0, (hi - lo) / hi, 0), np.where(hi > lo, (hi - c) / (hi - lo), 0)
         level = hi**v_gamma * (1 - sat**s_gamma * t) * 256
-        return [made(row, np.clip(np.floor(np.round(level, 6)), 0, 255))]
+        return np.clip(np.floor(np.round(level, 6)), 0, 255)
+
+    def work(row: dict) -> list[dict]:
+        array = array_of(row)
+        if array.dtype != np.uint8 or array.size < 3 * tables.DIRECT:
+            return [made(row, graded(array.max(axis=2, keepdims=True), array.min(axis=2, keepdims=True), array))]
+        byte = np.arange(256)
+        with np.errstate(all="ignore"):  # cells whose own value isn't between least and largest are never looked up
+            table = tables.shared_table(("voodoo", pedestal, s_gamma, v_gamma), lambda: tables.ByteTable(lambda hi: graded(np.full((1, 1), hi), np.minimum(byte, hi)[:, None], byte[None, :]), 1))
+
+        def looked_up(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+            hi, lo = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+            return np.stack([table(hi, lo, c) for c in (r, g, b)], axis=1)
+
+        return [made(row, tables.in_strips(array.reshape(-1, 3), looked_up).reshape(array.shape))]
 
     return map_frames(frames, work)
 
 
+def _axis(cube: Cube, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte the two samples of an axis that it lies between, and how far from the first."""
+    n = cube.n
+    u = np.arange(256) / 255.0
+    u = u * n - 0.5 if mode == "reference" else u * (n - 1)
+    low = np.floor(u).astype(np.int64)
+    ends = [(low + k) % n if mode == "reference" else np.minimum(low + k, n - 1) for k in range(2)]
+    return *ends, u - low
+
+
 def apply_cube(frames: DataFrame, cube: Cube, mode: str = "reference") -> DataFrame:
-    def work(row: dict) -> list[dict]:
-        n = cube.n
-        u = array_of(row) / 255.0
-        u = u * n - 0.5 if mode == "reference" else u * (n - 1)
-        low = np.floor(u).astype(np.int64)
-        part = u - low
-        total = np.zeros(u.shape)
+    """Trilinear lookup. For large frames of bytes all colours of a red value are interpolated when it first occurs, an axis at a time."""
+
+    def blended(pixels: np.ndarray) -> np.ndarray:
+        n, (low, high, part) = cube.n, _axis(cube, mode)
+        total = np.zeros(pixels.shape)
         for corner in range(8):
-            bits = np.array([corner >> k & 1 for k in range(3)])
-            at = (low + bits) % n if mode == "reference" else np.minimum(low + bits, n - 1)
-            weight = np.where(bits, part, 1 - part).prod(axis=2, keepdims=True)
-            total += weight * cube.entries[at[..., 0] + n * at[..., 1] + n * n * at[..., 2]]
-        return [made(row, np.floor(np.round(total, 6)))]
+            at, weight = 0, 1.0
+            for k in range(3):
+                v = pixels[:, k]
+                at = at + n**k * (high if corner >> k & 1 else low)[v]
+                weight = weight * (part if corner >> k & 1 else 1 - part)[v]
+            total += weight[:, None] * cube.entries[at]
+        return np.floor(np.round(total, 6))
+
+    def of_red(red: int) -> np.ndarray:
+        low, high, part = _axis(cube, mode)
+        grid = cube.entries.reshape(cube.n, cube.n, cube.n, 3)  # by blue, green, red
+        plane = grid[:, :, low[red]] * (1 - part[red]) + grid[:, :, high[red]] * part[red]
+        plane = plane[:, low] * (1 - part)[None, :, None] + plane[:, high] * part[None, :, None]
+        return np.floor(np.round(plane[low] * (1 - part)[:, None, None] + plane[high] * part[:, None, None], 6))
+
+    key = ("cube", mode, cube.n, cube.entries.tobytes())
+
+    def work(row: dict) -> list[dict]:
+        array = array_of(row)
+        pixels = array.reshape(-1, 3)
+        if len(pixels) < tables.DIRECT:
+            return [made(row, blended(pixels).reshape(array.shape))]
+        table = tables.shared_table(key, lambda: tables.ByteTable(of_red, 3))
+        return [made(row, tables.in_strips(pixels, lambda r, g, b: table(r, b, g)).reshape(array.shape))]
 
     return map_frames(frames, work)
 
@@ -247,28 +415,47 @@ def split_rows(frames: DataFrame, flip: bool = False) -> DataFrame:
         half = {"kind": "rgb", "elem": "u8", "width": row["width"] // 2, "height": row["height"] // 2, "fps": row["fps"] * 2}
         return [row | half | {"frame_no": row["frame_no"] * 2 + k, "data": lines[(k + flip) % 2 :: 2].tobytes()} for k in range(2)]
 
-    return map_frames(frames, work)
+    return map_frames(frames, work, keeps_numbers=False)
+
+
+BROADCAST_HALVES = 1_000_000  # numbers of 24 bytes
 
 
 def join_rows(halves: DataFrame, red_in_first_col: bool = True, red_in_first_row: bool = False) -> DataFrame:
-    """Half frames back to whole ones: only their headers are ordered in one task."""
+    """Half frames back to whole ones. Headers alone are paired; half frames are shuffled once, by the number of their frame.
+
+    Which half goes where is broadcast up to BROADCAST_HALVES halves, and joined by a shuffle beyond.
+    """
+    halves = halves.where(F.col("error").isNull()) if "error" in halves.columns else halves
     head = F.hex(F.substring("data", 1, 3))
 
     def byte(k: int):
         return F.conv(F.substring(head, 2 * k + 1, 2), 16, 10).cast("int")
 
-    pairs = pair_halves(halves.select(F.col("frame_no").alias("half_no"), byte(0).alias("counter"), byte(1).alias("buffer"), byte(2).alias("marker")))
-    data = halves.select("frame_no", "data")
-    joined = pairs.withColumnRenamed("frame_no", "number").join(halves.withColumnRenamed("frame_no", "a"), "a").join(data.select(F.col("frame_no").alias("b"), F.col("data").alias("other")), "b")
-    named = joined.select(F.col("number").alias("frame_no"), *halves.drop("frame_no").columns, "other")
+    headers = halves.select(F.col("frame_no").alias("half_no"), byte(0).alias("counter"), byte(1).alias("buffer"), byte(2).alias("marker"))
+    pairs = pair_halves(headers)
+    sides = pairs.select(F.col("frame_no").alias("__number"), F.posexplode(F.array("b", "a")).alias("__side", "frame_no"))
+    few = sides.count() <= BROADCAST_HALVES
+    placed = halves.join(F.broadcast(sides) if few else sides, "frame_no").repartition("__number").sortWithinPartitions("__number", "__side")
+    fields = halves.schema
 
     def work(row: dict) -> list[dict]:
-        a, b = (np.frombuffer(row[c], np.uint8).reshape(row["height"], -1) for c in ("data", "other"))
-        lines = np.stack([b, a], axis=1)
+        b, a = (np.frombuffer(row[c], np.uint8).reshape(row["height"], -1) for c in ("data", "other"))
         new = {"kind": "raw", "elem": "p12", "width": row["width"] * 2, "height": row["height"] * 2, "red_in_first_col": red_in_first_col, "red_in_first_row": red_in_first_row, "fps": row["fps"] / 2}
-        return [row | new | {"data": lines.tobytes()}]
+        return [row | new | {"data": np.stack([b, a], axis=1).tobytes()}]
+
+    def run(batches):
+        before = None
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(f.name) for f in fields])
+            for row in rows_of(batch):
+                if row["__side"] == 0:
+                    before = row
+                    continue
+                for made_row in worked(before | {"frame_no": row["__number"], "other": row["data"]}, work):
+                    yield batch_of(made_row, schema)
 
-    return map_frames(named, work).drop("other")
+    return placed.select(*fields.names, "__number", "__side").mapInArrow(run, fields)
 
 
 #: Error controls, and the names of sample types.
@@ -320,8 +507,62 @@ def _shape(size: int, dims: list[int] | None, own: tuple[int, ...]) -> tuple[int
     return tuple(d if d > 0 else size // rest for d in reversed(dims))
 
 
+def _lagged(coded: np.ndarray, axis: int, lag: int) -> np.ndarray:
+    """Each number less the one `lag` before it along an axis."""
+    out = np.moveaxis(coded.copy(), axis, 0)
+    out[lag:] -= np.moveaxis(coded, axis, 0)[:-lag]
+    return np.moveaxis(out, 0, axis)
+
+
+def _residues(coded: np.ndarray, axes: list[int], lag: int) -> np.ndarray:
+    """What is left when each number is predicted from its neighbours: differences along one axis, and along several those of differences."""
+    for axis in axes:
+        coded = _lagged(coded, axis, lag)
+    return coded
+
+
+def _from_residues(residues: np.ndarray, axes: list[int], lag: int) -> np.ndarray:
+    out = residues.copy()
+    for axis in axes:
+        view = np.moveaxis(out, axis, 0)
+        for k in range(lag):
+            view[k::lag] = np.cumsum(view[k::lag], axis=0)
+    return out
+
+
+SAMPLE_ROWS = 128
+
+
+def _predictor(coded: np.ndarray) -> tuple[list[int], int]:
+    """The axes and the lag whose residues are smallest on some rows in the middle: along the fastest axis or along all, to the next sample or to the next of its colour."""
+    middle = max(0, (len(coded) - SAMPLE_ROWS) // 2)
+    sample = coded[middle : middle + SAMPLE_ROWS]
+    axes = list(range(coded.ndim))
+    choices = [([coded.ndim - 1], lag) for lag in (1, 2)] + ([(axes, lag) for lag in (1, 2)] if coded.ndim > 1 else [])
+
+    def cost(choice: tuple[list[int], int]) -> float:
+        return float(np.log2(1 + np.abs(_residues(sample, *choice)).astype(np.float64)).sum())
+
+    return min(choices, key=cost) if sample.size else choices[0]
+
+
+def _coded_bytes(residues: np.ndarray) -> tuple[int, bytes]:
+    """Bytes a residue, and the residues deflated: sign in the lowest bit, then by place of their bytes."""
+    folded = (residues << 1 ^ residues >> 63).astype(np.uint64).ravel()
+    most = int(folded.max(initial=0))
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    planes = folded.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return width, zlib.compress(np.ascontiguousarray(planes).tobytes(), 3)
+
+
+def _decoded_residues(data: bytes, width: int, shape: list[int]) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1)
+    folded = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64)
+    return ((folded >> np.uint64(1)).view(np.int64) ^ -(folded & np.uint64(1)).view(np.int64)).reshape(shape)
+
+
 def compress(frames: DataFrame, tolerance: float, error_control: str = "abs", data_type: str = "", dims: list[int] | None = None) -> DataFrame:
-    """Error-bounded: samples are rounded to steps of twice the bound, differenced along the fastest dimension and deflated.
+    """Error-bounded: samples are rounded to steps of twice the bound, predicted from their neighbours in all dimensions, and what remains is deflated.
 
     data_type: what the frame's bytes are taken as; its own samples if empty.
     Samples that the steps would miss by more than the bound (beside overflows
@@ -351,10 +592,11 @@ def compress(frames: DataFrame, tolerance: float, error_control: str = "abs", da
                 far = np.where(back > v, back.astype(np.int64) - v.astype(np.int64), v.astype(np.int64) - back.astype(np.int64)).view(np.uint64)
                 right = far <= np.uint64(min(bound, 2.0**63))
         missed = np.flatnonzero(~right)
-        head = json.dumps({"step": step, "dtype": v.dtype.str, "shape": v.shape, "elem": row["elem"], "missed": len(missed)}).encode()
-        kept = missed.astype("<i8").tobytes() + v.ravel()[missed].tobytes()
-        flat = np.diff(coded, axis=-1, prepend=0).astype("<i8").tobytes()
-        return [row | {"elem": "ebc", "data": struct.pack("<I", len(head)) + head + zlib.compress(kept + flat, 3)}]
+        axes, lag = _predictor(coded)
+        width, body = _coded_bytes(_residues(coded, axes, lag))
+        kept = zlib.compress(missed.astype("<i8").tobytes() + v.ravel()[missed].tobytes(), 3)
+        head = json.dumps({"step": step, "dtype": v.dtype.str, "shape": v.shape, "elem": row["elem"], "missed": len(missed), "missed_bytes": len(kept), "axes": axes, "lag": lag, "width": width}).encode()
+        return [row | {"elem": "ebc", "data": struct.pack("<I", len(head)) + head + kept + body}]
 
     return map_frames(frames, work)
 
@@ -364,9 +606,10 @@ def decompress(frames: DataFrame) -> DataFrame:
         raw = bytes(row["data"])
         (size,) = struct.unpack_from("<I", raw)
         head = json.loads(raw[4 : 4 + size])
-        dtype, body, n = np.dtype(head["dtype"]), zlib.decompress(raw[4 + size :]), head["missed"]
-        missed, own = np.frombuffer(body, "<i8", n), np.frombuffer(body, dtype, n, 8 * n)
-        coded = np.cumsum(np.frombuffer(body, "<i8", offset=n * (8 + dtype.itemsize)).reshape(head["shape"]), axis=-1)
+        dtype, body, n = np.dtype(head["dtype"]), raw[4 + size :], head["missed"]
+        kept = zlib.decompress(body[: head["missed_bytes"]])
+        missed, own = np.frombuffer(kept, "<i8", n), np.frombuffer(kept, dtype, n, 8 * n)
+        coded = _from_residues(_decoded_residues(body[head["missed_bytes"] :], head["width"], head["shape"]), head["axes"], head["lag"])
         v = _restored(coded, head["step"], dtype)
         if head["elem"] == "p12":
             v = np.minimum(v, 4095)

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..numbering import numbered
 
-def count_windows(frame_numbers: DataFrame, n: int) -> DataFrame:
-    """(frame_no, window): full windows of n frames that are there, in order; an unfinished last one is left out.
 
-    The single-partition window is over one row per frame, not over pixels.
-    """
-    numbered = frame_numbers.select("frame_no").distinct().withColumn("at", F.row_number().over(Window.orderBy("frame_no")) - 1)
-    numbered = numbered.select("frame_no", F.expr(f"at div {n}").cast("long").alias("window"))
-    full = F.count("*").over(Window.partitionBy("window")) == n
-    return numbered.withColumn("full", full).where("full").drop("full")
+def count_windows(frame_numbers: DataFrame, n: int) -> DataFrame:
+    """(frame_no, window): full windows of n frames that are there, in order; an unfinished last one is left out."""
+    at, count = numbered(frame_numbers.select("frame_no").distinct(), "frame_no", "at")
+    return at.where(F.col("at") < count // n * n).select("frame_no", F.expr(f"at div {n}").cast("long").alias("window"))
 
 
 def average(px: DataFrame, n: int, std: bool = False, dense: bool = False) -> DataFrame:

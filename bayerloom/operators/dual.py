@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..numbering import RANGE_ROWS, in_ranges
+
 #: The markers in the third byte of half frames.
 MARK_A, MARK_B = 0xAA, 0x55
 
@@ -47,22 +48,82 @@ class PairState:
         return number, a[0], b[0]
 
 
-def pair_halves(headers: DataFrame) -> DataFrame:
-    """(frame_no, a, b) of all right pairs, from headers (half_no, counter, buffer, marker).
+    @property
+    def code(self) -> int:
+        """What the state holds beside the number and the half frame itself, which can only be the one before: 0 to STATES - 1."""
+        return self.read_buffer + 4 * (0 if self.held is None else 1 if self.fresh else 2)
 
-    The rule depends on all that came before, so headers, three bytes a half
-    frame, stream in order through one task; the frames themselves do not.
-    A slipped pair leaves a gap in frame_no.
-    """
+    @classmethod
+    def of(cls, code: int, before: tuple | None, number: int = 0) -> PairState:
+        """The state of a code, where `before` is the half frame that came last."""
+        return cls(number, code % 4, before if code >= 4 else None, code < 8)
+
+
+STATES = 12
+_HEADER = ["half_no", "counter", "buffer", "marker"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = PairState()
-        for batch in batches:
-            pairs = [p for row in batch[["half_no", "counter", "buffer", "marker"]].itertuples(index=False, name=None) if (p := state.feed(row))]
-            yield pd.DataFrame(pairs, columns=["frame_no", "a", "b"]).astype("int64")
 
-    ordered = headers.select("half_no", "counter", "buffer", "marker").repartition(1).sortWithinPartitions("half_no")
-    return ordered.mapInPandas(run, "frame_no long, a long, b long")
+def state_map(headers: list[tuple], before: tuple | None) -> list[tuple[int, int]]:
+    """For each state that these headers may find, the state that they leave and how many frame numbers they use.
+
+    States that have become equal go on as one, so this costs little more than
+    going through the headers once.
+    """
+    tracks = [(PairState.of(code, before), [(code, 0)]) for code in range(STATES if before else 4)]
+    for header in headers:
+        by_code: dict[int, tuple[PairState, list]] = {}
+        for state, members in tracks:
+            state.feed(header)
+            kept, others = by_code.setdefault(state.code, (state, []))
+            others += [(code, used + state.number - kept.number) for code, used in members]
+        tracks = list(by_code.values())
+    out = [(0, 0)] * STATES
+    for state, members in tracks:
+        for code, used in members:
+            out[code] = state.code, used + state.number
+    return out
+
+
+def pair_halves(headers: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(frame_no, a, b) of all right pairs, from headers (half_no, counter, buffer, marker).
+
+    The rule depends on all that came before, but what it remembers is one of
+    STATES states. So headers, three bytes a half frame, are put in ranges; each
+    range gives the map of the states that it may find to those that it leaves,
+    the maps are composed in order, and then the ranges are paired side by side,
+    each from the state that it finds. A slipped pair leaves a gap in frame_no.
+    """
+    spark = headers.sparkSession
+    placed, ranges = in_ranges(headers.select(*_HEADER), "half_no", range_rows)
+
+    def ordered(table: pd.DataFrame) -> list[tuple]:
+        return list(table.sort_values("at")[_HEADER].itertuples(index=False, name=None))
+
+    finds = {ranges[0][0]: PairState()} if ranges else {}
+    if len(ranges) > 1:
+        last = {r[0]: tuple(r[1]) for r in placed.groupBy("part").agg(F.max_by(F.struct(*_HEADER), "at")).collect()}
+        before = {part: last[ranges[k - 1][0]] if k else None for k, (part, *_) in enumerate(ranges)}
+
+        def mapped(table: pd.DataFrame) -> pd.DataFrame:
+            part = int(table["part"].iloc[0])
+            found = state_map(ordered(table), before[part])
+            return pd.DataFrame([(part, code, leaves, used) for code, (leaves, used) in enumerate(found)], columns=["part", "finds", "leaves", "used"])
+
+        maps = {(r["part"], r["finds"]): (r["leaves"], r["used"]) for r in placed.groupBy("part").applyInPandas(mapped, "part long, finds int, leaves int, used long").collect()}
+        code, number = PairState().code, 0
+        for part, *_ in ranges:
+            finds[part] = PairState.of(code, before[part], number)
+            code, used = maps[part, code]
+            number += used
+
+    def paired(table: pd.DataFrame) -> pd.DataFrame:
+        state = finds[int(table["part"].iloc[0])]
+        pairs = [p for header in ordered(table) if (p := state.feed(header))]
+        return pd.DataFrame(pairs, columns=["frame_no", "a", "b"]).astype("int64")
+
+    if not ranges:
+        return spark.createDataFrame([], "frame_no long, a long, b long")
+    return placed.groupBy("part").applyInPandas(paired, "frame_no long, a long, b long")
 
 
 def decode_pairs(halves: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import chosen
+from ..numbering import with_previous
+
 
 def number_of_frames(frames: DataFrame, n: int) -> DataFrame:
-    """The frames numbered below n; 0 means all."""
-    return frames.where(F.col("frame_no") < n) if n else frames
+    """The frames numbered below n; 0 means all. Others aren't read where the source can tell."""
+    return chosen(frames, 0, n) if n else frames
 
 
 def internal_loop(frames: DataFrame, times: int, count: int) -> DataFrame:
@@ -29,7 +32,6 @@ def swap_red_blue(rgb: DataFrame) -> DataFrame:
 
 
 def sequence_gaps(frame_numbers: DataFrame) -> DataFrame:
-    """(after_frame, missing) wherever numbers are skipped; one narrow row per frame is ordered."""
-    before = F.lag("frame_no").over(Window.orderBy("frame_no"))
-    pairs = frame_numbers.select("frame_no").distinct().withColumn("after_frame", before)
+    """(after_frame, missing) wherever numbers are skipped; numbers alone are ordered, in ranges."""
+    pairs = with_previous(frame_numbers.select("frame_no").distinct(), "frame_no", "after_frame")
     return pairs.where(F.col("frame_no") - F.col("after_frame") > 1).select("after_frame", (F.col("frame_no") - F.col("after_frame") - 1).alias("missing"))

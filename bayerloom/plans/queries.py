@@ -159,6 +159,26 @@ def split_var(spark, sf_dir):
     return out.withColumn("v", F.round("v", 4))
 
 
+_IN_FIVES = PX + ", a as (select frame_no // 5 as frame_no, y, x, avg(v) as m, var_pop(v) as s, count(*) as n from px group by all)"
+
+
+@query(f"with {_IN_FIVES} select frame_no, y, x, round(cast(m as float), 3) as mean, round(cast(s as float), 1) as var from a where n = 5")
+def average_frames(spark, sf_dir):
+    """Mean and variance planes of packed frames, put together again."""
+    mean, variance = kernels.average(_packed(spark, sf_dir), 5)
+    planes = [fr.pixels(p, "raw", "f32").withColumnRenamed("v", name) for p, name in ((mean, "mean"), (variance, "var"))]
+    joined = planes[0].join(planes[1], ["frame_no", "y", "x"])
+    return joined.withColumns({"mean": F.round(F.col("mean").cast("float"), 3), "var": F.round(F.col("var").cast("float"), 1)})
+
+
+@query(f"with {PX}, a as (select y, x, round(avg(v), 3) as v from px group by all) select cast(0 as bigint) as frame_no, * from a")
+def average_all_frames(spark, sf_dir):
+    """All frames as one window, as a dark frame is made of a whole recording."""
+    frames = _packed(spark, sf_dir)
+    mean, _ = kernels.average(frames, frames.count(), std=False)
+    return fr.pixels(mean, "raw", "f32").withColumn("v", F.round("v", 3))
+
+
 _MEDIANS = PX + """, green as (select frame_no, y, x // 2 as k, v as g from px where (x + y + 1) % 2 = 0),
 med as (select a.frame_no, l.lag, a.y, list_sort(list(a.g - b.g))[count(*) // 2 + 1] as d
         from green a cross join (values (1), (2), (3)) l(lag) join green b on a.frame_no = b.frame_no and a.k = b.k and b.y = a.y + l.lag group by all)"""
@@ -248,6 +268,20 @@ def reverse_dual_flip(spark, sf_dir):
     return operators.split_rows(px(spark, sf_dir), flip=True)
 
 
+def _packed_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.debayer(kernels.bit_depth(_packed(spark, sf_dir), 8))
+
+
+@query(ORACLE_SQL["color_voodoo"])
+def color_voodoo_frames(spark, sf_dir):
+    return fr.pixels(kernels.color_voodoo(_packed_rgb(spark, sf_dir), 8, 0.8, 1.2), "rgb")
+
+
+@query(ORACLE_SQL["lut3d_reference"])
+def lut3d_frames(spark, sf_dir):
+    return fr.pixels(kernels.apply_cube(_packed_rgb(spark, sf_dir), operators.parse_cube(cube_text()), "reference"), "rgb")
+
+
 _HEADED = "cast(case when y < 2 and x = 0 then (frame_no * 2 + y) % 256 * 16 when y < 2 and x = 1 then (frame_no + 1) % 4 * 256 + case when y = 1 then 170 else 85 end else v end as integer) as v"
 
 
@@ -262,6 +296,21 @@ def dual_decode_slipped(spark, sf_dir):
     return operators.decode_pairs(half_frames(spark, sf_dir).where("half_no <> 7"))
 
 
+def _packed_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    halves = packing.to_frames(half_frames(spark, sf_dir).withColumnRenamed("half_no", "frame_no"))
+    return fr.described(halves, fr.Interpretation(WIDTH // 2, HEIGHT // 2, rgb=True, fps=48.0))
+
+
+@query(f"with {PX} select frame_no, y, x, {_HEADED} from px")
+def dual_decode_frames(spark, sf_dir):
+    return fr.pixels(kernels.join_rows(_packed_halves(spark, sf_dir)), "raw", "p12")
+
+
+@query(f"with {PX}, g as (select frame_no, y, x, {_HEADED} from px) select frame_no, y, x, v from g where frame_no < 3 union all select frame_no, y, x, v from g where frame_no > 3")
+def dual_decode_slipped_frames(spark, sf_dir):
+    return fr.pixels(kernels.join_rows(_packed_halves(spark, sf_dir).where("frame_no <> 7")), "raw", "p12")
+
+
 @query(f"with {PX} select * from px where frame_no < 3")
 def number_of_frames(spark, sf_dir):
     return operators.number_of_frames(px(spark, sf_dir), 3)
@@ -294,6 +343,24 @@ def blob_write_read(spark, sf_dir):
     return fr.pixels(sources.read_blob(spark, path, fr.Interpretation(WIDTH, HEIGHT, 12)))
 
 
+@query(f"with {P8} select frame_no, y, x, cast(v as integer) as v from p8 where frame_no < (select count(distinct frame_no) // 2 from px)")
+def blob_first_frames(spark, sf_dir):
+    """The first half of a blob's frames, through a step: the rest isn't read."""
+    path, frames = f"{scratch_folder(spark)}/first.blob", _packed(spark, sf_dir)
+    n = sinks.write_blob(frames, path)
+    read = kernels.bit_depth(sources.read_blob(spark, path, fr.Interpretation(WIDTH, HEIGHT, 12)), 8)
+    return fr.pixels(operators.number_of_frames(read, n // 2), "raw", "u8")
+
+
+@query(f"with {PX} select frame_no, y, x, v from px where frame_no = (select max(frame_no) // 2 from px)")
+def blob_one_frame(spark, sf_dir):
+    """The frame in the middle of a blob, without those around it."""
+    path, frames = f"{scratch_folder(spark)}/one.blob", _packed(spark, sf_dir)
+    n = sinks.write_blob(frames, path)
+    read = sources.read_blob(spark, path, fr.Interpretation(WIDTH, HEIGHT, 12), push_filters=True)
+    return fr.pixels(read.where(F.col("frame_no") == (n - 1) // 2), "raw", "p12")
+
+
 @query(f"with {PX} select * from px")
 def dir_write_read(spark, sf_dir):
     path = f"{scratch_folder(spark)}/raw"

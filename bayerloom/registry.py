@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels, operators, sinks, sources
-from .frames import Interpretation, tolerant, whole
+from .frames import Interpretation, chosen, tolerant, whole
 from .params import Parameter
 
 
@@ -147,7 +147,8 @@ def _(spark, p, frames):
 
 @register_node("DarkframeSubtract", {"darkframe": Parameter("str"), "width": Parameter("int", low=1), "height": Parameter("int", low=1)}, takes(Port("raw", "p12")))
 def _(spark, p, frames):
-    plane = sources.read_blob(spark, p["darkframe"], Interpretation(p["width"], p["height"], 32)).where("frame_no = 0").first()
+    plane = sources.read_blob(spark, p["darkframe"], Interpretation(p["width"], p["height"], 32))
+    plane = chosen(plane, 0, 1).first()
     if plane is None:
         raise ValueError(f"{p['darkframe']} holds no plane of {p['width']} x {p['height']}")
     return kernels.darkframe_subtract(frames, np.frombuffer(plane["data"], "<f4").reshape(p["height"], p["width"]).astype(np.float64))

@@ -14,9 +14,9 @@ from pathlib import Path
 import numpy as np
 import yaml
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..frames import BITS, whole
+from ..frames import BITS, chosen, whole
+from .placed import Written
 from .raw import write_each
 
 #: Tag number, type and content that every file has.
@@ -108,15 +108,15 @@ def dng_bytes(row: dict, profile: dict = PROFILE) -> bytes:
     return bytes(head) + bytes(data)
 
 
-def write_dng(frames: DataFrame, path: str, number_of_frames: int = 0, profile: dict = PROFILE, replace: bool = False) -> int:
+def write_dng(frames: DataFrame, path: str, number_of_frames: int = 0, profile: dict = PROFILE, replace: bool = False) -> Written:
     from ..operators.selecting import number_of_frames as limited
 
-    return write_each(limited(frames, number_of_frames), path, "dng", lambda row: dng_bytes(row, profile), replace)
+    return write_each(limited(frames, number_of_frames), path, "dng", profile, replace)
 
 
 def frame_as_dng(frames: DataFrame, number: int, profile: dict = PROFILE) -> bytes:
-    """One frame on demand: a filter on its number reaches the source."""
-    row = whole(frames).where(F.col("frame_no") == number).first()
+    """One frame on demand: it is chosen before all steps that keep numbers, and a blob reads that frame alone."""
+    row = chosen(whole(frames), number, number + 1).first()
     if row is None:
         raise KeyError(f"there is no frame {number}")
     return dng_bytes(row.asDict(), profile)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import BITS, array_of, whole
+from ..frames import BITS, array_of, chosen, whole
 
 
 def png_bytes(image: np.ndarray) -> bytes:
@@ -26,7 +26,7 @@ def png_bytes(image: np.ndarray) -> bytes:
 
 def preview(frames: DataFrame, frame_no: int = 0, width: int = 0) -> bytes:
     """One frame as a PNG, at most `width` pixels wide (0: as it is), by nearest samples; deeper samples show their top 8 bits."""
-    row = whole(frames).where(F.col("frame_no") == frame_no).first()
+    row = chosen(whole(frames), frame_no, frame_no + 1).first()
     if row is None:
         raise KeyError(f"there is no frame {frame_no}")
     image = array_of(row.asDict())

@@ -1,74 +1,112 @@
-"""Pairing of half frames and averaging of frames over streams.
+"""Pairing of half frames and averaging of frames over streams, with typed state.
 
 Frames of one stream arrive in order of number within a batch and between
-batches; streams are told apart by `stream`. State holds what the rule needs: a
-held half frame, or sums of an unfinished window.
+batches; streams are told apart by `stream`. State holds what the rule needs, as
+columns: a held half frame and its marks, or moments of an unfinished window.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..frames import packed
 from ..functions.packing import unpack12
+from ..kernels import Moments
 from ..operators.dual import PairState
 
-_STATE = "state binary"
-
-
-def _per_stream(frames: DataFrame, step, schema: str) -> DataFrame:
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else None
-        for batch in batches:
-            rows = []
-            for row in batch.sort_values("frame_no").to_dict("records"):
-                held, out = step(key[0], held, row)
-                rows += out
-            if rows:
-                yield pd.DataFrame(rows)
-        state.update((pickle.dumps(held),))
-
-    return frames.groupBy("stream").applyInPandasWithState(run, schema, _STATE, "append", "NoTimeout")
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _per_stream(frames: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """Sets the session's state store to the one that typed state needs, for queries started from now on."""
+    frames.sparkSession.conf.set(_STORE, _ROCKS)
+    return frames.groupBy("stream").transformWithStateInPandas(processor, schema, "append", "none")
+
+
+class _Pairs(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pairing = handle.getValueState("pairing", "number long, read_buffer int, fresh boolean")
+        self.held = handle.getValueState("held", "frame_no long, counter int, buffer int, marker int, data binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, kept = PairState(), {}
+        if self.pairing.exists():
+            state.number, state.read_buffer, state.fresh = self.pairing.get()
+        if self.held.exists():
+            *header, data = self.held.get()
+            state.held, kept = tuple(header), {header[0]: bytes(data)}
+        for table in rows:
+            out = []
+            for row in table.sort_values("frame_no").to_dict("records"):
+                data = bytes(row["data"])
+                kept[row["frame_no"]] = data
+                pair = state.feed((row["frame_no"], data[0], data[1], data[2]))
+                if pair:
+                    number, a, b = pair
+                    lines = np.stack([np.frombuffer(kept[k], np.uint8).reshape(row["height"], -1) for k in (b, a)], axis=1)
+                    out.append({"stream": key[0], "frame_no": number, "data": lines.tobytes()})
+                kept = {state.held[0]: kept[state.held[0]]} if state.held else {}
+            if out:
+                yield pd.DataFrame(out)
+        self.pairing.update((int(state.number), int(state.read_buffer), bool(state.fresh)))
+        if state.held:
+            self.held.update((*map(int, state.held), kept[state.held[0]]))
+        else:
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def stream_pairs(halves: DataFrame) -> DataFrame:
     """(stream, frame_no, data): whole packed frames from half frames (stream, frame_no, height, data)."""
-
-    def step(stream, held, row):
-        pairing, kept = held or (PairState(), {})
-        data = bytes(row["data"])
-        kept[row["frame_no"]] = data
-        pair = pairing.feed((row["frame_no"], data[0], data[1], data[2]))
-        out = []
-        if pair:
-            number, a, b = pair
-            lines = np.stack([np.frombuffer(kept[k], np.uint8).reshape(row["height"], -1) for k in (b, a)], axis=1)
-            out.append({"stream": stream, "frame_no": number, "data": lines.tobytes()})
-        kept = {pairing.held[0]: kept[pairing.held[0]]} if pairing.held else {}
-        return (pairing, kept), out
-
-    return _per_stream(halves.select("stream", "frame_no", "height", "data"), step, "stream string, frame_no long, data binary")
+    return _per_stream(halves.select("stream", "frame_no", "height", "data"), _Pairs(), "stream string, frame_no long, data binary")
+
+
+class _Averages(StatefulProcessor):
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.window = handle.getValueState("window", "number long, n long")
+        self.moments = handle.getValueState("moments", "sums binary, squares binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        number, moments = 0, None
+        if self.window.exists():
+            number, count = self.window.get()
+            if count:
+                sums, squares = self.moments.get()
+                moments = Moments("p12", self.n, 0, True)
+                moments.n, moments.a, moments.b = count, np.frombuffer(sums, moments.a.dtype).copy(), np.frombuffer(squares, moments.b.dtype).copy()
+        for table in rows:
+            out = []
+            for row in table.sort_values("frame_no").to_dict("records"):
+                v = unpack12(np.frombuffer(bytes(row["data"]), np.uint8))
+                moments = moments or Moments("p12", self.n, len(v), True)
+                moments.add(v)
+                if moments.n == self.n:
+                    mean, variance = moments.results()
+                    out.append({"stream": key[0], "frame_no": number, "mean": packed(mean, "f32"), "var": packed(variance, "f32")})
+                    number, moments = number + 1, None
+            if out:
+                yield pd.DataFrame(out)
+        self.window.update((int(number), int(moments.n if moments else 0)))
+        if moments:
+            self.moments.update((moments.a.tobytes(), moments.b.tobytes()))
+        else:
+            self.moments.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def stream_average(frames: DataFrame, n: int) -> DataFrame:
     """(stream, frame_no, mean, var): float planes of every n successive 12-bit frames (stream, frame_no, data)."""
-
-    def step(stream, held, row):
-        window, count, sums, squares = held or (0, 0, 0.0, 0.0)
-        v = unpack12(np.frombuffer(bytes(row["data"]), np.uint8)).astype(np.float64)
-        count, sums, squares = count + 1, sums + v, squares + v * v
-        if count < n:
-            return (window, count, sums, squares), []
-        mean = sums / n
-        out = {"stream": stream, "frame_no": window, "mean": packed(mean, "f32"), "var": packed(np.maximum(squares / n - mean * mean, 0), "f32")}
-        return (window + 1, 0, 0.0, 0.0), [out]
-
-    return _per_stream(frames.select("stream", "frame_no", "data"), step, "stream string, frame_no long, mean binary, var binary")
-
-
-
+    return _per_stream(frames.select("stream", "frame_no", "data"), _Averages(n), "stream string, frame_no long, mean binary, var binary")
