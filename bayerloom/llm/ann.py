@@ -11,13 +11,19 @@ node of its graph. Searching two graphs takes two
 beams, so the shard count follows the rows only beyond ROWS_PER_SHARD; a larger
 graph would need a larger beam for the same recall.
 
-Graph search is by angle and length together: vectors get one more component
-that makes their lengths equal, so that the largest product is the smallest
-distance. Vectors that are null, zero, of another length than most, or hold a
-null or non-finite component take no part, as rows or queries. A query's own
-row (its id) is no candidate. Fewer than k candidates are all returned. Ties go
-to the smaller id; an id that occurs on several rows counts as its first vector
-in sort order. An empty table gives an empty result.
+Vectors of very unequal length make poor graphs for inner products, so a shard
+is cut into bands of lengths that differ by a quarter at most, with a graph for
+each; bands of few rows are scanned. A query goes through the bands from the
+longest vectors down, and leaves when length x length can't beat its k-th best.
+Within a band vectors get one more component that makes their lengths equal, so
+that the largest product is the smallest distance.
+
+Vectors that are null, zero, or hold a null or non-finite component take no
+part, as rows or queries. Candidates of a query are the vectors with as many
+components, in shards of their own. A query's own row is no candidate; rows that
+share its id with another vector are. Rows equal in id and vector count once.
+Fewer than k candidates are all returned. Ties go to the smaller id. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +38,10 @@ from pyspark.sql import functions as F
 from .common import staged
 
 SHARDS = 6
-ROWS_PER_SHARD = 20_000  # up to which SEARCH_BEAM is measured to hold recall 0.9, see the tests
+ROWS_PER_SHARD = 16_000  # up to which SEARCH_BEAM is measured to hold recall 0.9, see the tests
+LEAST_SHARD = 1000  # rows, before a table is cut into shards
+BAND_RATIO = 1.25
+SCANNED_ROWS = 256
 LINKS = 16
 BUILD_BEAM = 96
 SEARCH_BEAM = 192
@@ -52,7 +61,7 @@ class SmallWorldGraph:
         draws = np.random.default_rng(seed).random(n)
         self.level = np.minimum((-np.log(np.maximum(draws, 1e-12)) / np.log(links)).astype(np.int64), 8)
         order = np.argsort(-self.level, kind="stable")
-        self.points, self.order = self.points[order], order
+        self.points, self.order, self.place = self.points[order], order, np.argsort(order)
         self.level = self.level[order]  # the top layers come first, so each layer is a prefix of the rows
         self.layers = [np.full((int((self.level >= k).sum()), links * (2 if k == 0 else 1)), -1, np.int32) for k in range(int(self.level.max(initial=0)) + 1)]
         self._build(n)
@@ -196,73 +205,126 @@ class SmallWorldGraph:
         return np.where(ids >= 0, self.order[np.maximum(ids, 0)], -1)
 
 
+class ShardIndex:
+    """Distinct vectors in bands by length, each a graph or, of few rows, a matrix."""
+
+    def __init__(self, vectors: np.ndarray):
+        lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        self.order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[self.order]
+        self.bands: list[tuple[int, int, float, SmallWorldGraph | np.ndarray]] = []
+        start, n = 0, len(vectors)
+        while start < n:
+            like = int(np.searchsorted(-lengths, -lengths[start] / BAND_RATIO, side="right"))
+            stop = min(n, max(like, start + SCANNED_ROWS))
+            rows = vectors[self.order[start:stop]]
+            self.bands.append((start, stop, float(lengths[start]), SmallWorldGraph(rows.astype(np.float32)) if stop - start > SCANNED_ROWS else rows))
+            start = stop
+
+    def search(self, queries: np.ndarray, k: int, beam: int) -> list[np.ndarray]:
+        """For each query the rows that are among its k best as far as they are found, in no order."""
+        m = len(queries)
+        size = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        best = np.full((m, k), -np.inf)
+        found: list[list[np.ndarray]] = [[] for _ in range(m)]
+        for start, stop, longest, held in self.bands:
+            going = np.flatnonzero(longest * size * (1 + 1e-6) >= best.min(axis=1))
+            if not len(going):
+                break
+            if isinstance(held, np.ndarray):
+                score = queries[going] @ held.T
+                at = max(0, score.shape[1] - k)
+                least = np.partition(score, at, axis=1)[:, at]
+                near = [np.flatnonzero(row >= low - 1e-9 * abs(low)) for row, low in zip(score, least, strict=True)]
+                top = np.partition(score, at, axis=1)[:, at:]
+            else:
+                # smaller graphs need smaller beams for the same recall
+                ids = held.search(queries[going].astype(np.float32), max(2 * k, round(beam * min(1.0, ((stop - start) / ROWS_PER_SHARD) ** 0.5))))
+                near = [row[row >= 0] for row in ids]
+                top = np.full((len(going), ids.shape[1]), -np.inf)
+                for i, rows in enumerate(near):
+                    top[i, : len(rows)] = self._vectors(held, rows) @ queries[going[i]]
+            for q, rows in zip(going.tolist(), near, strict=True):
+                found[q].append(self.order[start + rows])
+            best[going] = -np.sort(-np.hstack([best[going], top]), axis=1)[:, :k]
+        return [np.concatenate(rows) if rows else np.zeros(0, np.int64) for rows in found]
+
+    @staticmethod
+    def _vectors(graph: SmallWorldGraph, rows: np.ndarray) -> np.ndarray:
+        return graph.points[graph.place[rows], :-1]
+
+
 def _usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     v = F.col(vector_column)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return rows.distinct()
 
 
 def nearest_neighbours(
     vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", shards: int | None = None, beam: int = SEARCH_BEAM
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query row."""
-    base = staged(_usable(vectors, id_column, vector_column).select("id", "v", F.size("v").alias("d")), "vectors")
-    asked = _usable(queries, id_column, vector_column).select("id", "v", F.size("v").alias("d"))
-    common = base.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
-    if not common:
-        return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, n = common[0]["d"], common[0]["n"]
-    shards = shards or max(SHARDS, -(-n // ROWS_PER_SHARD))
-    rows = base.where(F.col("d") == d).select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asked"), "id", "v")
-    sent = asked.where(F.col("d") == d).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asked"), "id", "v")
-    dealt = rows.unionByName(sent).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "asked", "id")
+    spark = vectors.sparkSession
+    base = staged(_usable(vectors, id_column, vector_column).withColumn("d", F.size("v")), "vectors")
+    asked = staged(_usable(queries, id_column, vector_column).select("id", "v", F.size("v").alias("d"), F.monotonically_increasing_id().alias("query")), "queries")
+    dealt_to, total = [], 0
+    for d, n in sorted(map(tuple, base.groupBy("d").agg(F.count("*")).collect())):
+        own = shards or max(min(SHARDS, -(-n // LEAST_SHARD)), -(-n // ROWS_PER_SHARD))
+        dealt_to.append((d, total, own))
+        total += own
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    plan = F.broadcast(spark.createDataFrame(dealt_to, "d int, first int, own int"))
+    rows = base.join(plan, "d").select((F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("own"))).cast("int").alias("shard"), F.lit(False).alias("asked"), F.lit(0).cast("long").alias("query"), "id", "v")
+    sent = asked.join(plan, "d").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("own") - 1)).alias("shard"), F.lit(True).alias("asked"), "query", "id", "v")
+    dealt = rows.unionByName(sent).repartitionById(total, F.col("shard")).sortWithinPartitions("shard", "asked", "id")
 
     def matrix(column: pa.Array) -> np.ndarray:
-        return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, d)
+        return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, held, graph = None, [], [], None
+        shard, ids, held, index = None, [], [], None
         for batch in batches:
             number = batch.column("shard").to_numpy()
             is_query = batch.column("asked").to_numpy(zero_copy_only=False)
             change = np.flatnonzero((number[1:] != number[:-1]) | (is_query[1:] != is_query[:-1])) + 1
             for a, b in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows], strict=True):
                 if number[a] != shard:
-                    shard, ids, held, graph = number[a], [], [], None
-                values, keys = matrix(batch.column("v").slice(a, b - a)), batch.column("id").slice(a, b - a).to_numpy()
+                    shard, ids, held, index = number[a], [], [], None
+                part = batch.slice(a, b - a)
+                values, keys = matrix(part.column("v")), part.column("id").to_numpy()
                 if not is_query[a]:
                     ids.append(keys)
                     held.append(values)
                     continue
                 if not held:
                     continue
-                if graph is None:
+                if index is None:
                     own = np.concatenate(ids)
                     every, which = np.unique(np.concatenate(held), axis=0, return_inverse=True)
                     order = np.lexsort((own, which.ravel()))
                     own, first = own[order], np.searchsorted(which.ravel()[order], np.arange(len(every) + 1))
-                    graph = SmallWorldGraph(every.astype(np.float32))
+                    index = ShardIndex(every)
+                queries = part.column("query").to_numpy()
                 for at in range(0, len(keys), BLOCK):
-                    yield best(graph, own, first, every, keys[at : at + BLOCK], values[at : at + BLOCK])
+                    yield best(index, own, first, every, queries[at : at + BLOCK], keys[at : at + BLOCK], values[at : at + BLOCK])
 
-    def best(graph: SmallWorldGraph, own: np.ndarray, first: np.ndarray, every: np.ndarray, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        found = graph.search(values.astype(np.float32), max(beam, k + 1))
-        columns: list[list[np.ndarray]] = [[], [], []]
-        for key, query, near in zip(keys, values, found, strict=True):
-            near = near[near >= 0]
+    def best(index: ShardIndex, own: np.ndarray, first: np.ndarray, every: np.ndarray, queries: np.ndarray, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for number, key, query, near in zip(queries, keys, values, index.search(values, k + 1, beam), strict=True):
             product = np.cumsum(every[near] * query, axis=1)[:, -1] if len(near) else np.zeros(0)
             lots = np.minimum(first[near + 1] - first[near], k + 1)  # of equal vectors the smallest ids are enough
             rows = np.repeat(first[near], lots) + np.arange(lots.sum()) - np.repeat(np.cumsum(lots) - lots, lots)
             ids, score = own[rows], np.repeat(product, lots)
-            ids, score = ids[ids != key], score[ids != key]
+            others = ~((ids == key) & np.repeat((every[near] == query).all(axis=1), lots))
+            ids, score = ids[others], score[others]
             order = np.lexsort((ids, -score))[:k]
-            for column, part in zip(columns, (np.full(len(order), key), ids[order], score[order]), strict=True):
+            for column, part in zip(columns, (np.full(len(order), number), np.full(len(order), key), ids[order], score[order]), strict=True):
                 column.append(part)
-        arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, ["query_id", "vec_id", "score"])
+        arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, ["query", "query_id", "vec_id", "score"])
 
-    nearest = dealt.mapInArrow(run, schema)
-    ranked = nearest.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    nearest = dealt.mapInArrow(run, "query long, query_id long, vec_id long, score double")
+    ranked = nearest.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

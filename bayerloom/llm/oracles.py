@@ -134,14 +134,15 @@ from numbered join positions using (number)"""
 #: The graphs find all rows only in tables as small as that of sf0.01; recall elsewhere is tested in tests/llm.
 SMALL_WORLD_NEIGHBOURS = """
 with e as (
-  select vec_id, min(embedding) as v from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
-  group by vec_id),
+  select *, row_number() over () as rid
+  from (
+    select distinct vec_id, embedding as v from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0)),
 n as (
-  select a.vec_id as query_id, b.vec_id as vec_id, list_inner_product(a.v::double[], b.v::double[]) as score
-  from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0)
+  select a.rid, a.vec_id as query_id, b.vec_id as vec_id, list_inner_product(a.v::double[], b.v::double[]) as score
+  from e a join e b on a.rid <> b.rid and len(a.v) = len(b.v) where a.vec_id % 20 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from n) where rank <= 20"""
+from (select *, row_number() over (partition by rid order by score desc, vec_id) as rank from n) where rank <= 20"""
 
 
 def _crc32(name: str, source: str) -> str:

@@ -135,6 +135,39 @@ def test_a_full_shard_reaches_the_recall():
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, best, strict=True)]) >= 0.9
 
 
+@pytest.mark.parametrize("lengths", ["equal", "0.5 to 2", "log-normal 0.3", "log-normal 0.7"])
+def test_a_full_shard_of_unequal_vectors_reaches_the_recall(lengths):
+    """The measure is the inner product, so lengths count; queries are from outside the index."""
+    rng = np.random.default_rng(9)
+    n = ann.ROWS_PER_SHARD
+    points = rng.normal(size=(n + 200, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    if lengths == "0.5 to 2":
+        points *= rng.uniform(0.5, 2, (n + 200, 1))
+    elif lengths != "equal":
+        points *= np.exp(float(lengths.split()[1]) * rng.normal(size=(n + 200, 1)))
+    index = ann.ShardIndex(points[:n])
+    assert any(isinstance(band[3], ann.SmallWorldGraph) for band in index.bands)
+    found = index.search(points[n:], 21, ann.SEARCH_BEAM)
+    best = np.argsort(-(points[n:] @ points[:n].T), axis=1)[:, :20]
+    assert np.mean([len(set(a.tolist()) & set(b.tolist())) / 20 for a, b in zip(found, best, strict=True)]) >= 0.92
+
+
+def test_every_row_is_a_candidate_of_queries_of_its_length(spark):
+    """Ids on several rows, equal rows, and vectors of two lengths."""
+    rng = np.random.default_rng(3)
+    data = [(k % 90, rng.normal(size=6 if k % 4 else 3).round(1).tolist()) for k in range(400)]
+    rows = spark.createDataFrame(data + data[:50], "vec_id long, embedding array<double>")
+    distinct = sorted({(i, tuple(v)) for i, v in data})
+    expected = []
+    for q, v in distinct:
+        if q % 20 == 0:
+            near = sorted((-float(np.cumsum(np.array(v) * np.array(w))[-1]), i) for i, w in distinct if len(w) == len(v) and (i, w) != (q, v))[:5]
+            expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(near, 1)]
+    found = ann.nearest_neighbours(rows, rows.where("vec_id % 20 = 0"), k=5, shards=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(expected)
+
+
 def test_full_shards_reach_the_recall_through_the_query(spark):
     """Two shards of 20,000 random unit vectors, with production parameters."""
     rng = np.random.default_rng(5)
