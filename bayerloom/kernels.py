@@ -47,19 +47,30 @@ def fp32_to_u16(frames: DataFrame, multiplier: float = 1.0) -> DataFrame:
     return map_frames(frames, work)
 
 
-def debayer(frames: DataFrame) -> DataFrame:
+def debayer(frames: DataFrame, border: str = "flat") -> DataFrame:
+    """border: see operators.debayer."""
+    if border not in ("flat", "clamp"):
+        raise ValueError("border must be flat or clamp")
+
     def work(row: dict) -> list[dict]:
         array = array_of(row).astype(np.int32)
         h, w = array.shape
-        flat = np.concatenate([np.zeros(w + 1, np.int32), array.ravel(), np.zeros(w + 1, np.int32)])
+        if border == "clamp":
+            around = np.pad(array, 1, mode="reflect")
+
+            def at(down: int, across: int) -> np.ndarray:
+                return around[1 + down : 1 + down + h, 1 + across : 1 + across + w]
+        else:
+            flat = np.concatenate([np.zeros(w + 1, np.int32), array.ravel(), np.zeros(w + 1, np.int32)])
 
-        def at(k: int) -> np.ndarray:
-            return flat[w + 1 + k : w + 1 + k + h * w].reshape(h, w)
+            def at(down: int, across: int) -> np.ndarray:
+                k = w + 1 + down * w + across
+                return flat[k : k + h * w].reshape(h, w)
 
         red_col = ((np.arange(w) + (not row["red_in_first_col"])) % 2 == 0)[None, :]
         red_row = ((np.arange(h) + (not row["red_in_first_row"])) % 2 == 0)[:, None]
-        across, upright = (at(-1) + at(1)) // 2, (at(-w) + at(w)) // 2
-        cross, corners = (at(-1) + at(1) + at(-w) + at(w)) // 4, (at(-w - 1) + at(-w + 1) + at(w - 1) + at(w + 1)) // 4
+        across, upright = (at(0, -1) + at(0, 1)) // 2, (at(-1, 0) + at(1, 0)) // 2
+        cross, corners = (at(0, -1) + at(0, 1) + at(-1, 0) + at(1, 0)) // 4, (at(-1, -1) + at(-1, 1) + at(1, -1) + at(1, 1)) // 4
         red, blue = red_col & red_row, ~red_col & ~red_row
         r = np.where(red, array, np.where(blue, corners, np.where(red_row, across, upright)))
         b = np.where(blue, array, np.where(red, corners, np.where(red_row, upright, across)))

@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def debayer(px: DataFrame, width: int, red_in_first_col: bool = True, red_in_first_row: bool = True) -> DataFrame:
+def debayer(px: DataFrame, width: int, red_in_first_col: bool = True, red_in_first_row: bool = True, border: str = "flat", height: int = 0) -> DataFrame:
     """(frame_no, y, x, r, g, b) by the means of neighbours in the flat sample order.
 
     Neighbours lie at flat distances of 1, width and width +- 1: at the left
     and right borders they are in the row before or after; outside the frame
     they are 0. One window with eight offsets: one exchange and one sort.
+
+    border: `flat` is that; with `clamp`, for which the height must be given, a
+    neighbour outside the frame is the nearest sample of its colour inside it,
+    the one on the other side.
     """
+    if border not in ("flat", "clamp") or (border == "clamp" and (width < 2 or height < 2)):
+        raise ValueError("border must be flat, or clamp with a height; both sides at least 2")
     order = Window.partitionBy("frame_no").orderBy("y", "x")
 
     def at(k: int) -> Column:
@@ -23,6 +29,18 @@ def debayer(px: DataFrame, width: int, red_in_first_col: bool = True, red_in_fir
 
     w = width
     seen = px.select("frame_no", "y", "x", "v", before(1).alias("left"), at(1).alias("right"), before(w).alias("up"), at(w).alias("down"), before(w + 1).alias("ul"), before(w - 1).alias("ur"), at(w - 1).alias("dl"), at(w + 1).alias("dr"))
+    if border == "clamp":
+        at_left, at_right, at_top, at_bottom = F.col("x") == 0, F.col("x") == width - 1, F.col("y") == 0, F.col("y") == height - 1
+
+        def inside(vertical: str, horizontal: str) -> Column:
+            """The neighbour on a corner, or the one of the four that is inside."""
+            over = at_top if vertical == "u" else at_bottom
+            beside, other = (at_left, "r") if horizontal == "l" else (at_right, "l")
+            flipped = "d" if vertical == "u" else "u"
+            return F.when(over & beside, F.col(flipped + other)).when(over, F.col(flipped + horizontal)).when(beside, F.col(vertical + other)).otherwise(F.col(vertical + horizontal)).alias(vertical + horizontal)
+
+        sides = [F.when(outside, F.col(b)).otherwise(F.col(a)).alias(a) for outside, a, b in ((at_left, "left", "right"), (at_right, "right", "left"), (at_top, "up", "down"), (at_bottom, "down", "up"))]
+        seen = seen.select("frame_no", "y", "x", "v", *sides, *[inside(a, b) for a in "ud" for b in "lr"])
     red_col = (F.col("x") + F.lit(int(not red_in_first_col))) % 2 == 0
     red_row = (F.col("y") + F.lit(int(not red_in_first_row))) % 2 == 0
     across, upright = F.expr("(left + right) div 2"), F.expr("(up + down) div 2")

@@ -140,12 +140,8 @@ def remove_row_noise(
     return out.where((F.col("x") >= DARK_COLUMNS) & (F.col("x") < width - DARK_COLUMNS)).withColumn("x", (F.col("x") - DARK_COLUMNS).cast("int"))
 
 
-def train_model(px: DataFrame, width: int, height: int, lags: int = 3, pairs: int = 0, red_in_first_col: bool = True, red_in_first_row: bool = True) -> RowNoiseModel:
-    """Least squares of row means on green medians and dark columns, for even and odd rows.
-
-    Features are one narrow row per frame row; only their Gram matrices, of
-    fixed size, reach the driver.
-    """
+def _training_rows(px: DataFrame, width: int, height: int, lags: int, pairs: int, red_in_first_col: bool, red_in_first_row: bool) -> tuple[DataFrame, list[str]]:
+    """Features and target of each row that a model can correct, and the features' names."""
     edge = max(lags, 2 * (pairs // 2), 0)
     means = px.where((F.col("x") >= DARK_COLUMNS) & (F.col("x") < width - DARK_COLUMNS)).groupBy("frame_no", "y").agg((F.avg("v") - BLACK).alias("target"))
     level = means.groupBy("frame_no").agg(F.avg("target").alias("level"))
@@ -166,15 +162,46 @@ def train_model(px: DataFrame, width: int, height: int, lags: int = 3, pairs: in
             own = [F.col(f"d{h}_{c}").alias(f"d{i}_{h}_{c}") for h in range(2) for c in range(16)]
             rows = rows.withColumn("pair", F.expr("y div 2")).join(wide.select("frame_no", (F.col("pair") - pair_lag(i)).alias("pair"), *own), ["frame_no", "pair"]).drop("pair")
             names += [f"d{i}_{h}_{c}" for h in range(2) for c in range(16)]
-    every = [*names, "one", "target"]
-    rows = rows.withColumn("one", F.lit(1.0))
-    cells = [(i, j) for i in range(len(every)) for j in range(i, len(every))]
-    sums = {r["parity"]: r for r in rows.groupBy((F.col("y") % 2).alias("parity")).agg(*[F.sum(F.col(every[i]) * F.col(every[j])).alias(f"s{i}_{j}") for i, j in cells]).collect()}
+    return rows.withColumn("one", F.lit(1.0)), [*names, "one", "target"]
+
+
+def training_sums(px: DataFrame, width: int, height: int, lags: int = 3, pairs: int = 0, red_in_first_col: bool = True, red_in_first_row: bool = True) -> tuple[DataFrame, list[str]]:
+    """(parity, i, j, total): sums of products of any two columns of the training rows, i <= j, and the columns' names.
+
+    Each task multiplies its rows out as matrices; sums of them are all that is shuffled.
+    """
+    rows, every = _training_rows(px, width, height, lags, pairs, red_in_first_col, red_in_first_row)
+    i, j = np.triu_indices(len(every))
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros((2, len(every), len(every)))
+        for batch in batches:
+            values = np.stack([batch.column(c).to_numpy() for c in every], axis=1)
+            odd = batch.column("y").to_numpy() % 2
+            for parity in range(2):
+                own = values[odd == parity]
+                total[parity] += own.T @ own
+        for parity in range(2):
+            yield pa.RecordBatch.from_pydict({"parity": np.full(len(i), parity, np.int32), "i": i.astype(np.int32), "j": j.astype(np.int32), "total": total[parity][i, j]})
+
+    parts = rows.select("y", *every).mapInArrow(run, "parity int, i int, j int, total double")
+    return parts.groupBy("parity", "i", "j").agg(F.sum("total").alias("total")), every
+
+
+def train_model(px: DataFrame, width: int, height: int, lags: int = 3, pairs: int = 0, red_in_first_col: bool = True, red_in_first_row: bool = True) -> RowNoiseModel:
+    """Least squares of row means on green medians and dark columns, for even and odd rows.
+
+    Features are one narrow row per frame row; only their Gram matrices, of
+    fixed size, reach the driver.
+    """
+    sums, every = training_sums(px, width, height, lags, pairs, red_in_first_col, red_in_first_row)
+    grams = np.zeros((2, len(every), len(every)))
+    for parity, i, j, total in sums.collect():
+        grams[parity, i, j] = grams[parity, j, i] = total
     halves = []
-    for parity in range(2):
-        gram = np.zeros((len(every), len(every)))
-        for i, j in cells:
-            gram[i, j] = gram[j, i] = sums[parity][f"s{i}_{j}"]
+    for gram in grams:
         w = np.linalg.lstsq(gram[:-1, :-1], gram[:-1, -1], rcond=1e-12)[0].tolist()
         green = [[w[lag], w[lags + lag]] for lag in range(lags)]
         dark = [[w[2 * lags + i * 32 + h * 16 : 2 * lags + i * 32 + h * 16 + 16] for h in range(2)] for i in range(pairs)]

@@ -96,6 +96,24 @@ def debayer(spark, sf_dir):
     return rgb(spark, sf_dir)
 
 
+def _clamped_sql() -> str:
+    """Neighbours by coordinates; one outside is the one on the other side."""
+    near = {name: (dy, dx) for name, dy, dx in (("le", 0, -1), ("ri", 0, 1), ("up", -1, 0), ("dn", 1, 0), ("ul", -1, -1), ("ur", -1, 1), ("dl", 1, -1), ("dr", 1, 1))}
+    joins = " ".join(f"join p8 {n} on {n}.frame_no = p.frame_no and {n}.y = {HEIGHT - 1} - abs({HEIGHT - 1} - abs(p.y + {dy})) and {n}.x = {WIDTH - 1} - abs({WIDTH - 1} - abs(p.x + {dx}))" for n, (dy, dx) in near.items())
+    seen = f"seen as (select p.*, {', '.join(f'{n}.v as {n}' for n in near)} from p8 p {joins})"
+    return f"with {P8}, {seen}, {_DEBAYER[_DEBAYER.index('rgb as ('):]} select * from rgb"
+
+
+@query(_clamped_sql())
+def debayer_clamped(spark, sf_dir):
+    return operators.debayer(p8(spark, sf_dir), WIDTH, border="clamp", height=HEIGHT)
+
+
+@query(_clamped_sql())
+def debayer_clamped_frames(spark, sf_dir):
+    return fr.pixels(kernels.debayer(kernels.bit_depth(_packed(spark, sf_dir), 8), "clamp"), "rgb")
+
+
 @query(f"with {_DEBAYER} select * from rgb")
 def debayer_frames(spark, sf_dir):
     packed = fr.raw_frames(packing.to_frames(px(spark, sf_dir)), WIDTH, HEIGHT, "p12")
@@ -475,22 +493,38 @@ def frame_errors(spark, sf_dir):
     return fr.failures(kernels.bit_depth(frames, 8)).select("frame_no", F.substring_index("error", ":", 1).alias("error"))
 
 
-@query(f"with {PX} select frame_no, y, x, v from px where frame_no < 4")
+@query(f"with {PX} select * from px")
 def tcp_read(spark, sf_dir):
-    """Frames of a sender on the driver, to the end of the connection."""
-    data = [r["data"] for r in _packed(spark, sf_dir).where("frame_no < 4").orderBy("frame_no").select("data").collect()]
+    """Frames of a sender on the driver, to the end of the connection; kept, and the sender closed."""
+    frames, folder = _packed(spark, sf_dir), scratch_folder(spark)
     host = spark.conf.get("spark.driver.host", "127.0.0.1")
-    server = socket.create_server((host, 0))
-
-    def serve() -> None:
-        with server:
-            while True:  # each time that the query is run
-                connection, _ = server.accept()
+    with socket.create_server((host, 0)) as server:
+
+        def serve() -> None:
+            while True:
+                try:
+                    connection, _ = server.accept()
+                except OSError:  # closed
+                    return
                 with connection:
-                    connection.sendall(b"".join(data))
+                    for _, data in fr.pull_ordered(frames):
+                        connection.sendall(data)
 
-    threading.Thread(target=serve, daemon=True).start()
-    return fr.pixels(sources.read_tcp(spark, f"{host}:{server.getsockname()[1]}", fr.Interpretation(WIDTH, HEIGHT, 12)), "raw", "p12")
+        threading.Thread(target=serve, daemon=True).start()
+        sources.read_tcp(spark, f"{host}:{server.getsockname()[1]}", fr.Interpretation(WIDTH, HEIGHT, 12)).write.parquet(folder)
+    return fr.pixels(spark.read.schema(fr.SCHEMA).parquet(folder), "raw", "p12")
+
+
+@query(f"with {_DEBAYER} select * from rgb")
+def encoder_pipe(spark, sf_dir):
+    """Frames pulled in order into an encoder's standard input; this one keeps them as they come."""
+    folder = scratch_folder(spark)
+    os.makedirs(folder)
+    with open(f"{folder}/encoder", "w") as file:
+        file.write('#!/bin/sh\nfor last in "$@"; do :; done\ncat > "$last"\n')
+    os.chmod(f"{folder}/encoder", 0o755)
+    sinks.write_encoder(_packed_rgb(spark, sf_dir), f"{folder}/film", program=f"{folder}/encoder")
+    return fr.pixels(sources.read_blob(spark, f"{folder}/film", fr.Interpretation(WIDTH, HEIGHT, rgb=True)), "rgb")
 
 
 def _streamed(spark, frames: DataFrame, step, name: str) -> DataFrame:
@@ -518,19 +552,19 @@ def stream_average(spark, sf_dir):
     return fr.pixels(planes, "raw", "f32").withColumn("v", F.round("v", 2))
 
 
-@query(f"with {PX}, s as (select frame_no % 5 as frame_no, y, x, v from px where frame_no < 5) select * from s")
+@query(f"with {PX}, n as (select count(distinct frame_no) as n from px) select frame_no + k * n as frame_no, y, x, v from px, n, range(2) r(k)")
 def replay_rounds(spark, sf_dir):
-    """What a replay of five frames shows of them, whatever its round."""
-    frames = _packed(spark, sf_dir).where("frame_no < 5")
-    folder = scratch_folder(spark)
-    shown = sources.replay(spark, frames, 5, frames_per_second=50).writeStream.format("parquet").option("path", f"{folder}/shown").option("checkpointLocation", f"{folder}/state").start()
-    for _ in range(60):
+    """The first two rounds of an endless replay of all frames: each number is shown once."""
+    frames = _packed(spark, sf_dir).persist()
+    n, folder = frames.count(), scratch_folder(spark)
+    shown = sources.replay(spark, frames, n, frames_per_second=200).writeStream.format("parquet").option("path", f"{folder}/shown").option("checkpointLocation", f"{folder}/state").start()
+    for _ in range(300):
         shown.awaitTermination(1)
-        if sum(p["numInputRows"] for p in shown.recentProgress) >= 50:
+        if shown.exception() or (os.path.isdir(f"{folder}/shown/_spark_metadata") and spark.read.schema(fr.SCHEMA).parquet(f"{folder}/shown").where(F.col("frame_no") < 2 * n).count() >= 2 * n):
             break
     shown.stop()
-    seen = spark.read.schema(fr.SCHEMA).parquet(f"{folder}/shown")
-    return fr.pixels(seen.withColumn("frame_no", F.col("frame_no") % 5), "raw", "p12").distinct()
+    frames.unpersist()
+    return fr.pixels(spark.read.schema(fr.SCHEMA).parquet(f"{folder}/shown").where(F.col("frame_no") < 2 * n), "raw", "p12")
 
 
 @query(f"with {PX} select frame_no, y, x, cast(4095 - v as integer) as v from px")
@@ -544,7 +578,10 @@ def own_node(spark, sf_dir):
     path = f"{scratch_folder(spark)}/own.blob"
     sinks.write_blob(_packed(spark, sf_dir), path)
     nodes = graph.parse_inline(f"RawBlobReader --file {path} --width {WIDTH} --height {HEIGHT} ! PlansNegative")
-    return fr.pixels(graph.build(spark, nodes)[nodes[-1].name], "raw", "p12")
+    try:
+        return fr.pixels(graph.build(spark, nodes)[nodes[-1].name], "raw", "p12")
+    finally:
+        del registry.NODES["PlansNegative"]  # as if it had never been there
 
 
 def _dark_sql(model: operators.RowNoiseModel) -> str:
@@ -588,6 +625,29 @@ def rownoise_trained_offsets(spark, sf_dir):
     return spark.createDataFrame([(0, round(model.even.offset, 6)), (1, round(model.odd.offset, 6))], "parity int, offset_weight double")
 
 
+_TRAINING = f"""with {_MEDIANS}, m as (select frame_no, y, avg(v) - 128 as t from px where x between 8 and {WIDTH - 9} group by all),
+features as (
+  select frame_no, y, 'target' as name, t - avg(t) over (partition by frame_no) as value from m
+  union all select frame_no, y, 'one', 1 from m
+  union all select frame_no, y, 'g' || lag || '_1', d from med
+  union all select frame_no, y + lag, 'g' || lag || '_0', -d from med
+  union all
+  select px.frame_no, r.y, 'd' || i || '_' || (px.y % 2) || '_' || case when x < 8 then x else x - {WIDTH - 16} end, v - 128
+  from range({HEIGHT}) r(y) join (values (0, 0), (1, -1), (2, 1)) p(i, away) on true join px on px.y // 2 = r.y // 2 + p.away where x < 8 or x >= {WIDTH - 8}),
+inner_rows as (select * from features where y between 3 and {HEIGHT - 4})
+select cast(a.y % 2 as integer) as parity, a.name as a, b.name as b, cast(round(sum(a.value * b.value) * 1600) as bigint) as total
+from inner_rows a join inner_rows b on a.frame_no = b.frame_no and a.y = b.y and a.name <= b.name group by all"""
+
+
+@query(_TRAINING)
+def rownoise_training_sums(spark, sf_dir):
+    """The normal equations that a model of three lags and three pairs of dark rows is trained by; times 1600 they are whole."""
+    sums, names = operators.training_sums(px(spark, sf_dir), WIDTH, HEIGHT, lags=3, pairs=3)
+    named = spark.createDataFrame(list(enumerate(names)), "i int, a string")
+    both = sums.join(F.broadcast(named), "i").join(F.broadcast(named.toDF("j", "b")), "j")
+    return both.select("parity", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(F.col("total") * 1600).cast("long").alias("total"))
+
+
 @query(f"with {PX}, n as (select count(distinct frame_no) as n from px) select n as frames, true as timed, cast(200 as bigint) as preview_pixels from n")
 def benchmark_and_preview(spark, sf_dir):
     frames = _packed(spark, sf_dir)

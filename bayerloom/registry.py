@@ -135,9 +135,9 @@ def _(spark, p, frames):
     return kernels.fp32_to_u16(frames, p["multiplier"])
 
 
-@register_node("Debayer", {}, takes(Port("raw", "u8"), then=Port("rgb", "u8")))
+@register_node("Debayer", {"border": Parameter("str", "flat", choices=("flat", "clamp"))}, takes(Port("raw", "u8"), then=Port("rgb", "u8")))
 def _(spark, p, frames):
-    return kernels.debayer(frames)
+    return kernels.debayer(frames, p["border"])
 
 
 @register_node("DebayerResolutionLoss", {}, takes(Port("raw", "u8"), then=Port("rgb", "u8")))

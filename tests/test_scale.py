@@ -401,3 +401,18 @@ def test_pairing_goes_on_with_a_held_half(spark, tmp_path):
     halves = spark.createDataFrame(rows, fr.SCHEMA).where("frame_no <> 8")
     made = in_two_runs(spark, halves.selectExpr("'a' as stream", "frame_no", "height", "data"), (5, 10), streaming.stream_pairs, tmp_path)
     assert contents(made) == contents(kernels.join_rows(halves))
+
+
+# --- borders ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("phase", [(True, True), (True, False), (False, True), (False, False)])
+def test_clamped_borders_agree_in_every_phase(spark, phase):
+    frames = some_frames(spark, 2, "u8").drop("red_in_first_col", "red_in_first_row").selectExpr("*", f"{phase[0]} as red_in_first_col", f"{phase[1]} as red_in_first_row").select(*fr.COLUMNS)
+    a = fr.pixels(kernels.debayer(frames, "clamp"))
+    b = operators.debayer(fr.pixels(frames), W, *phase, border="clamp", height=H)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(*a.columns).collect()))
+    with pytest.raises(ValueError):
+        operators.debayer(fr.pixels(frames), W, border="clamp")
+    flat = spark.createDataFrame([(0, "raw", "u8", 4, 4, *phase, 24.0, bytearray([80] * 16))], fr.SCHEMA)
+    assert {tuple(r)[3:] for r in fr.pixels(kernels.debayer(flat, "clamp")).collect()} == {(80, 80, 80)}, "no dark edge"
