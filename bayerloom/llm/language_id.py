@@ -7,9 +7,11 @@ neighbouring words together. Forward-backward gives each word's
 probabilities, also in text that switches languages, and their mean over the
 words is the text's: lang_pred is the largest, score its share.
 
-The field is fitted on a bounded sample: of each language about FIT_TEXTS
-labelled rows, those of smallest id hash, and of each a window of FIT_WORDS words;
-windows of several languages are joined, so that the transitions see switches.
+The field is fitted on a bounded sample: of each language about FIT_TEXTS (at
+most twice as many) different labelled rows, drawn by a hash of id and text, and
+of each a window of FIT_WORDS words and FIT_BYTES bytes, which is cut out before
+anything is sent to the driver; windows of several languages are joined, so that
+the transitions see switches.
 Rows with crc32(doc_id) mod 5 = 0, and those with null text, lang or id, are never learned from.
 Language, source and id play no part in predictions, which read whole texts.
 
@@ -24,14 +26,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, word_hashes_and_places
+from .common import slices, staged, word_hashes_and_places
 
 UNKNOWN = "und"
 FIT_TEXTS = 200
 FIT_WORDS = 150
+FIT_BYTES = 8192
+BROADCAST_LANGUAGES = 100_000
 FOLDS = 5
 LEXICON_WORDS = 2000
 GRAM_BITS = 17
@@ -227,16 +231,42 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def drawn(docs: DataFrame, most: int = FIT_TEXTS) -> DataFrame:
+    """(doc_id, lang, text): of each language about `most` different rows that may be learned from, at most twice as many, and of their texts a window.
+
+    Rows pass by their hash first, so few are compared or shuffled; copies of a
+    row, which pass together, are folded in the tasks that read them.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    space = 1 << 40
+    limits = staged(rows.groupBy("lang").agg((F.lit(float(space * most)) / F.count("*")).alias("limit")), "languages")
+    few = limits.count() <= BROADCAST_LANGUAGES
+    joined = rows.join(F.broadcast(limits) if few else limits, "lang")
+    passed = joined.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(space)) < F.col("limit")).select("doc_id", "lang", "text").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
+    kept = passed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * most).select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+
+    def window(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int) -> str:
+        if not len(starts):
+            return ""
+        first = turn % max(1, len(starts) - FIT_WORDS + 1)
+        starts, ends = starts[first : first + FIT_WORDS], ends[first : first + FIT_WORDS]
+        whole = max(1, int(np.searchsorted(ends, starts[0] + FIT_BYTES, side="right")))
+        return raw[starts[0] : min(ends[whole - 1], starts[0] + FIT_BYTES)].tobytes().decode("utf-8", "ignore")
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, offsets, raw, starts, ends = word_hashes_and_places(part.column("text"))
+                texts = [window(raw, starts[a:b], ends[a:b], h & (1 << 40) - 1) for a, b, h in zip(offsets[:-1].tolist(), offsets[1:].tolist(), part.column("hash").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(texts, pa.string())], ["doc_id", "lang", "text"])
+
+    return kept.mapInArrow(cut, "doc_id long, lang string, text string")
+
+
 def fit(docs: DataFrame, most: int = FIT_TEXTS) -> LanguageField | None:
     """A field from about `most` rows of each language, or None if there is nothing to learn from."""
-    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    space = 1 << 40
-    limit = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(space, space * most // n)))])[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < limit).select("doc_id", "lang", "text").collect()
-    sample = sorted((r["doc_id"], r["lang"], r["text"]) for r in sample)
+    sample = sorted(tuple(r) for r in drawn(docs, most).collect())
     if not sample:
         return None
     texts, languages = [r[2] for r in sample], [r[1] for r in sample]

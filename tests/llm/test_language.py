@@ -69,3 +69,44 @@ def test_odd_rows(odd_docs, no_docs, field):
     assert all(r["held_out"] is False for r in rows if r["doc_id"] is None)
     assert li.fit(no_docs) is None and li.identify_languages(no_docs).count() == 0
     assert {r["lang_pred"] for r in li.identify_languages(odd_docs.withColumn("lang", odd_docs["source"])).collect()} == {"und"}
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    """One id on most rows, copies of a row, a very long text and a very long word."""
+    rows = [(7, f"hot text number {k} of many", "en") for k in range(3000)] + [(8, "copied", "en")] * 3000 + [(k, " ".join(f"w{k}x{j}" for j in range(5000)), "de") for k in range(20, 60)]
+    rows += [(k, "z" * 50_000, "es") for k in range(100, 120)] + [(200, None, "en"), (201, "text", None), (None, "text", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    sample = li.drawn(docs, 10).collect()
+    by_lang = {lang: [r for r in sample if r["lang"] == lang] for lang in ("en", "de", "es")}
+    assert len(sample) == sum(map(len, by_lang.values())) and all(0 < len(own) <= 20 for own in by_lang.values())
+    assert len({tuple(r) for r in sample}) == len(sample)
+    assert all(len(r["text"].encode()) <= li.FIT_BYTES and len(r["text"].split()) <= li.FIT_WORDS for r in sample)
+    whole = {r[0]: r[1] for r in rows if r[0] in range(20, 60)}
+    assert all(r["text"] in whole[r["doc_id"]] for r in by_lang["de"])
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in sample)
+
+
+def test_predictions_equal_a_plain_forward_backward(spark, field):
+    """The whole query on whole texts against sums over the lattice written out."""
+    docs = table(spark, SF, "documents").limit(60)
+    expected = {}
+    for r in docs.collect():
+        offsets, scores = field.scores(pa.array([r["text"]]))
+        n, k = scores.shape
+        move, start = np.exp(field.move.astype(np.float64)), np.exp(field.start.astype(np.float64))
+        if not n:
+            expected[r["doc_id"]] = ("und", 0.0)
+            continue
+        forward, backward = np.zeros((n, k)), np.ones((n, k))
+        for t in range(n):
+            forward[t] = np.exp(scores[t] - scores[t].max()) * (start if t == 0 else forward[t - 1] @ move)
+            forward[t] /= forward[t].sum()
+        for t in range(n - 2, -1, -1):
+            backward[t] = move @ (np.exp(scores[t + 1] - scores[t + 1].max()) * backward[t + 1])
+            backward[t] /= backward[t].sum()
+        each = forward * backward
+        share = (each / each.sum(axis=1, keepdims=True)).mean(axis=0)
+        expected[r["doc_id"]] = (field.languages[int(share.argmax())] if any(c.isalpha() for c in r["text"]) else "und", float(share.max()))
+    for r in li.identify_languages(docs, field).collect():
+        name, score = expected[r["doc_id"]]
+        assert r["lang_pred"] == name and (name == "und" or r["score"] == pytest.approx(score, abs=2e-3))

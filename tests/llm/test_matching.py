@@ -69,7 +69,7 @@ def test_all_verbatim_items_are_found(spark, monkeypatch):
 def test_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, None), (None, "lazy dog while seven wizards boil"), (2, ""), (3, "lazy dog while seven wizards boil")], "item_id long, text string")
     rows = dc.contaminated(odd_docs, items).collect()
-    assert sorted((r["doc_id"], r["item_id"] or 0) for r in rows) == [(k, i) for k in (6, 6, 7, 8) for i in (0, 3)] or len(rows) == 8
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in rows) == sorted((k, i) for k in (6, 6, 7, 8) for i in (0, 3))
     assert dc.clean_documents(odd_docs, items).count() == odd_docs.count() - 4
     for empty in (dc.contaminated(no_docs, items), dc.contaminated(odd_docs, items.where("item_id = 99")), dc.clean_documents(no_docs, items), li.scan_licenses(no_docs)):
         assert empty.count() == 0
