@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["keep_quality", "drop_near_duplicates", "drop_contaminated", "mask_private", "encode"]
 
