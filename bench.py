@@ -42,7 +42,7 @@ def noisy(spark: SparkSession, count: int, width: int, height: int, elem: str):
 
 
 def large_frames(spark: SparkSession, rounds: int = 10) -> dict:
-    """Frames and pixels a second of 4096 x 3072 frames of 12 bits, and of smaller ones for the steps that compute more."""
+    """Frames and pixels a second of 4096 x 3072 frames of 12 bits."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     out = {}
 
@@ -59,13 +59,13 @@ def large_frames(spark: SparkSession, rounds: int = 10) -> dict:
     with tempfile.TemporaryDirectory() as folder:
         sinks.write_blob(frames, f"{folder}/blob")
         rate("read_depth", kernels.bit_depth(sources.read_blob(spark, f"{folder}/blob", fr.Interpretation(4096, 3072)), 8), count, size)
-    frames.unpersist()
-    count, size = 16, 1024 * 768
-    frames = noisy(spark, count, 1024, 768, "p12")
     rate("row_noise", kernels.row_noise(kernels.bit_depth(frames, 16), operators.load_model("internal:good")), count, size)
-    rgb = kernels.debayer(kernels.bit_depth(frames, 8))
-    rate("lut3d", kernels.apply_cube(rgb, operators.parse_cube(fixtures.cube_text(17))), count, size)
     frames.unpersist()
+    rgb = kernels.debayer(kernels.bit_depth(noisy(spark, count, 4096, 3072, "p12"), 8)).persist()
+    rgb.count()
+    rate("lut3d", kernels.apply_cube(rgb, operators.parse_cube(fixtures.cube_text(17))), count, size)
+    rate("color_voodoo", kernels.color_voodoo(rgb, 8, 0.8, 1.2), count, size)
+    rgb.unpersist()
     return out
 
 
